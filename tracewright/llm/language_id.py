@@ -26,11 +26,18 @@ from .common import slices
 SAMPLE_DOCS = 64
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 4096
-LEVEL = 3
+#: The stronger level is for texts of up to so many bytes, where single bytes decide.
+SHORT, STRONG, LIGHT = 2048, 12, 6
 #: A margin is narrow under this share of the second best size, or under so many bytes.
 NARROW, NARROW_BYTES = 0.003, 1
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The words of a text in lower case, a space apart: marks and digits are of no language."""
+    return OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
@@ -46,26 +53,28 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     for row in sorted(picked, key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0)):
         known = out.get(row["lang"], b"")
         if len(known) < DICTIONARY_BYTES:
-            out[row["lang"]] = (known + b"\n" + row["text"].lower().encode("utf-8", "surrogatepass"))[:DICTIONARY_BYTES]
+            out[row["lang"]] = (known + b" " + letters(row["text"]))[:DICTIONARY_BYTES]
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = []
-        for name in self.names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.coders = {level: [self.coder(dictionaries[name], level) for name in self.names] for level in (STRONG, LIGHT)}
+
+    @staticmethod
+    def coder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1, from the margin) and whether the margin is wide enough."""
         if text is None or not self.names or not LETTER.search(text):
             return UNDETERMINED, 0.0, False
-        raw = text.lower().encode("utf-8", "surrogatepass")
+        raw = letters(text)
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(self.coders))
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(self.coders[STRONG if len(raw) <= SHORT else LIGHT]))
         if len(sizes) == 1:
             return self.names[0], 1.0, True
         best, second = sizes[0][0], sizes[1][0]
