@@ -1 +1 @@
-"""Column expressions: geometry, probability, time, grid and colour."""
+"""Column expressions: geometry, probability, time of day, colour."""

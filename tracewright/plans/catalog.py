@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import learning, network
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**network.QUERIES, **learning.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**network.ORACLES, **learning.ORACLES}

@@ -1,8 +1,10 @@
-"""Session factory with the settings that the operators are tuned for."""
+"""Session factory, and tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tracewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +20,12 @@ def get_spark(app: str = "tracewright", master: str | None = None, **conf: str)
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the folder that the session shares (``spark.checkpoint.dir``, else the warehouse) and reads it from there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
