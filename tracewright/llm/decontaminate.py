@@ -25,13 +25,15 @@ from .common import materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 200_000
-SPACE = "[ \\t-\\r]+"
+WHITE = "\t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    """Array of words; empty for null and wordless texts."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), f"^{SPACE}|{SPACE}$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+    """Array of words; empty for null and wordless texts. White space becomes spaces first: splitting at one character needs no pattern."""
+    bare = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    for c in WHITE:
+        bare = F.replace(bare, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def shingle_hashes(words: Column) -> Column:
@@ -80,7 +82,8 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     shift = F.lit(64) - F.col("_bits")
     bin_of = lambda x: F.call_function("shiftright", x, shift)
     minima = F.filter("_h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("_h", i - 1))))
-    return rows.select("doc_id", F.explode(minima).alias("h")).join(_small(probes), "h").select("doc_id", "item_id").distinct()
+    # an outer explode: the inner one comes with a filter on the array's size, which would be pushed below the hashes and repeat them
+    return rows.select("doc_id", F.explode_outer(minima).alias("h")).join(_small(probes), "h").select("doc_id", "item_id").distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,7 +92,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialise(with_hashes(items, "text").select("item_id", "_hashes", shingles_of(F.col("_words")).alias("_item")).where(F.size("_item") > 0), "items")
     pairs = materialise(candidates(docs, items).groupBy("doc_id").agg(F.collect_set("item_id").alias("_items")), "candidates").withColumnRenamed("doc_id", "_id")
-    found = docs.join(_small(pairs), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "_items", shingles_of(words_of(F.col("text"))).alias("_doc"))
+    found = docs.join(_small(pairs), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "_items", words_of(F.col("text")).alias("_words"))
+    found = found.select("doc_id", "_items", shingles_of(F.col("_words")).alias("_doc"))
     each = found.select("doc_id", "_doc", F.explode("_items").alias("item_id")).join(_small(items.select("item_id", "_item")), "item_id")
     counted = each.select("doc_id", "item_id", F.size(F.array_intersect("_item", "_doc")).cast("long").alias("n_shared"), F.size("_item").cast("long").alias("n_shingles"))
     kept = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles"))
