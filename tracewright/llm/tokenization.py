@@ -3,22 +3,33 @@
 Encoding is the costly step, and most of a text is units seen before. Where a text is plain (no character
 outside Latin letters, ASCII and a few signs, no special string), it falls apart at single spaces or
 white space into units that this library's own pattern never joins, so each unit is encoded once and its ids
-are kept. Any other text goes to the library whole. Ids come out the same; tests hold both ways together.
+are kept; a new unit is split by the vocabulary's pattern and its pieces are kept as well. Any other text goes to the library
+whole. Ids come out the same; tests hold both ways together.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import string
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+import regex
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Anything else (other scripts, rare white space, combining marks, special strings) is encoded whole.
 UNUSUAL = re.compile(r"[^\t\n\r -~¡-¬®-įı-ž]|<\|")
-#: A space before other white space belongs to a run that must not be split.
-SPREAD = re.compile(r" [ \n\t\r]")
-CACHED_UNITS, CACHED_CHARS = 400_000, 40
+#: Bytes of texts that are plain for sure: ASCII, and letters of two bytes.
+PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+# The patterns by which the two kinds of vocabulary split text before merging.
+PATTERNS = {
+    "kept": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "dropped": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+CACHED_UNITS, CACHED_PIECES, CACHED_CHARS = 700_000, 500_000, 40
 
 
 class UnitTokenizer:
@@ -35,48 +46,83 @@ class UnitTokenizer:
         self.space = space
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.split = regex.compile(PATTERNS[space]).findall
+        self.merges = Tokenizer.from_file(path)  # the same model, for pieces that are split already
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str] | None:
         """Units that are encoded apart, or None for a text that is encoded whole."""
-        if UNUSUAL.search(text):
+        if "<|" in text or text.encode("utf-8", "surrogatepass").translate(None, PLAIN) and UNUSUAL.search(text) or not text.isascii() and ("\u0130" in text or "\u017f" in text):
             return None
         if self.space == "dropped":
             return text.lower().split()
-        if not text or SPREAD.search(text):
+        # a space before other white space belongs to a run that must not be split
+        if not text or "  " in text or " \n" in text or " \t" in text or " \r" in text:
             return None
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]  # the first has no space before it
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]  # the first has no space before it
+        return parts
+
+    def bare(self, unit: str) -> list[str]:
+        """The pieces of a unit. Letters with marks after them, as most units are, need no pattern."""
+        word = unit.rstrip(string.punctuation)
+        if word.isalpha():
+            own = [word if self.space == "dropped" else " " + word]
+            return own if len(word) == len(unit) else [*own, unit[len(word) :]]
+        return self.split(self.spelled(unit))
 
     def raw(self, found: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
+        return self.packed(self.library.encode_batch_fast(found, add_special_tokens=False)) if found else []
+
+    def packed(self, encoded: list) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        made = [array(kind, e.ids) for e in encoded]
+        if sys.byteorder != "little":
+            for a in made:
+                a.byteswap()
+        return [a.tobytes() for a in made]
 
     def spelled(self, unit: str) -> str:
         if self.space == "dropped":
             return unit
         return unit[1:] if unit[:1] == "\0" else " " + unit
 
+    def fresh(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that aren't known yet; pieces and units are kept as long as there is room."""
+        parts = {u: self.bare(u) for u in units}
+        missing = list({p for own in parts.values() for p in own if p not in self.pieces})
+        made = dict(zip(missing, self.packed(self.merges.encode_batch_fast(missing, add_special_tokens=False)), strict=True)) if missing else {}
+        pieces = self.pieces
+        out = {u: b"".join([pieces[p] if p in pieces else made[p] for p in own]) for u, own in parts.items()}
+        if len(pieces) < CACHED_PIECES:
+            pieces.update((p, b) for p, b in made.items() if len(p) <= CACHED_CHARS)
+        if len(self.known) < CACHED_UNITS:
+            self.known.update((u, b) for u, b in out.items() if len(u) <= CACHED_CHARS)
+        return out
+
     def encode(self, found: list[str]) -> list[bytes]:
         parts = [self.units(x) for x in found]
-        missing = {u for p in parts if p for u in p if u not in self.known}
-        fresh: dict[str, bytes] = {}
-        if missing:
-            order = list(missing)
-            fresh = dict(zip(order, self.raw([self.spelled(u) for u in order]), strict=True))
-            if len(self.known) < CACHED_UNITS:
-                self.known.update((u, b) for u, b in fresh.items() if len(u) <= CACHED_CHARS)
-                fresh = {u: b for u, b in fresh.items() if len(u) > CACHED_CHARS}
-        known, out = self.known, []
-        whole = iter(self.raw([x for x, p in zip(found, parts, strict=True) if p is None]))
+        known, missing, held = self.known.get, set(), []
         for p in parts:
+            ids = list(map(known, p)) if p else []
+            held.append(ids)
+            if None in ids:
+                missing.update([u for u, b in zip(p, ids, strict=True) if b is None])
+        fresh = self.fresh(missing) if missing else {}
+        whole, out = iter(self.raw([x for x, p in zip(found, parts, strict=True) if p is None])), []
+        for p, ids in zip(parts, held, strict=True):
             if p is None:
                 out.append(next(whole))
-            elif fresh:
-                out.append(b"".join([known[u] if u in known else fresh[u] for u in p]))
+            elif None in ids:
+                out.append(b"".join([fresh[u] if b is None else b for u, b in zip(p, ids, strict=True)]))
             else:
-                out.append(b"".join([known[u] for u in p]))
+                out.append(b"".join(ids))
         return out
 
 
 @lru_cache(2)
 def tokenizer(path: str, space: str) -> UnitTokenizer:
+    """One for each worker process; it uses the worker's own core alone."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return UnitTokenizer(path, space)
