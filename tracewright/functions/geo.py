@@ -84,15 +84,25 @@ def angle_between(a: Vec, b: Vec) -> Column:
     return F.acos(F.when(cosine > 1, 1.0).when(cosine < -1, -1.0).otherwise(cosine))
 
 
+FRAME = ("_lat0", "_lon0", "_s_x", "_s_y", "_e_x", "_e_y")
+
+
+def with_frame(segs: DataFrame, compat: bool = False) -> DataFrame:
+    """Adds to segments what ``with_hit`` needs of them alone: their middle, and their ends in planar coordinates around it."""
+    df = segs.withColumn("_lat0", (F.col("s_lat") + F.col("e_lat")) / 2).withColumn("_lon0", (F.col("s_lon") + F.col("e_lon")) / 2)
+    return with_planar(with_planar(df, "_s", "s_lat", "s_lon", "_lat0", "_lon0", compat), "_e", "e_lat", "e_lon", "_lat0", "_lon0", compat)
+
+
 def with_hit(df: DataFrame, compat: bool = False) -> DataFrame:
     """Adds ``_hit``, struct(dist, lat, lon): how far the point lat, lon is from the segment s_lat, s_lon, e_lat, e_lon, and its nearest point.
 
-    The perpendicular foot counts if it lies in the rectangle of the ends, else the nearer end (the second on a tie).
+    The perpendicular foot counts if it lies in the rectangle of the ends, else the nearer end (the second on a tie). Rows that come
+    from a join should have had ``with_frame`` on the side of the segments, which is then done once for each.
     """
-    own = df.columns
-    df = df.withColumn("_lat0", (F.col("s_lat") + F.col("e_lat")) / 2).withColumn("_lon0", (F.col("s_lon") + F.col("e_lon")) / 2)
-    for name, lat, lon in (("_s", "s_lat", "s_lon"), ("_e", "e_lat", "e_lon"), ("_p", "lat", "lon")):
-        df = with_planar(df, name, lat, lon, "_lat0", "_lon0", compat)
+    own = [c for c in df.columns if c not in FRAME]
+    if "_s_x" not in df.columns:
+        df = with_frame(df, compat)
+    df = with_planar(df, "_p", "lat", "lon", "_lat0", "_lon0", compat)
     s, e, p = vec("_s"), vec("_e"), vec("_p")
     # the foot s + v t of the perpendicular through p
     df = df.withColumn("_t", F.try_divide((p - s).dot(e - s), (e - s).dot(e - s)))

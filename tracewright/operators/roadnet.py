@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import angle_between, grid_cell, haversine_m, vec, with_hit, with_planar, with_turn
+from ..functions.geo import angle_between, grid_cell, haversine_m, vec, with_frame, with_hit, with_planar, with_turn
 
 MIN_TURN_LENGTH_M = 15.0
 LEVELS = 7
@@ -115,7 +115,7 @@ def located(positions: DataFrame, segs: DataFrame) -> DataFrame:
 def project(points: DataFrame, segs: DataFrame, compat: bool = False) -> DataFrame:
     """Each point (road_id, lat, lon) on its known road: nearest segment (the first on a tie), distance and position."""
     keys = points.columns
-    every = with_hit(points.join(segs.select("road_id", "seg_id", "s_lat", "s_lon", "e_lat", "e_lon", "sum_after"), "road_id"), compat)
+    every = with_hit(points.join(with_frame(segs.select("road_id", "seg_id", "s_lat", "s_lon", "e_lat", "e_lon", "sum_after"), compat), "road_id"), compat)
     left = F.col("sum_after") - haversine_m("_hit.lat", "_hit.lon", "s_lat", "s_lon")
     best = F.min_by(F.struct("_hit.dist", left.alias("to_node"), "seg_id"), F.struct("_hit.dist", "seg_id"))
     return every.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.dist").alias("err"), F.col("_b.to_node").alias("to_node"), F.col("_b.seg_id").alias("seg_id"))
