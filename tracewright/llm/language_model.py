@@ -101,8 +101,19 @@ class Numbers(dict):
 
 
 def summarise(counted: DataFrame) -> Vocabulary:
-    """From the stored table of counts. What reaches the driver has a fixed bound: ``KNOWN`` tokens and a row for each class."""
-    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    """From the stored table of counts. What reaches the driver has a fixed bound: ``KNOWN`` tokens and a row for each class.
+
+    The least count of a known token is read off a histogram of counts by steps of an eighth of a power of two, so
+    nothing is sorted; where fewer than ``KNOWN`` tokens have any count, all are known.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    held, cut = 0, 0
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["step"]):
+        held += r["k"]
+        if held > KNOWN:
+            cut = r["step"] + 1
+            break
+    top = sorted(counted.where(step >= cut).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     known = Numbers((bytes(r["word"]), i) for i, r in enumerate(top))
     counts = np.array([r["n"] for r in top], np.int64)
     classes, heads = np.zeros(len(top), np.int64), 0

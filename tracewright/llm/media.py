@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts
 
@@ -184,28 +185,31 @@ def store(payload: bytes) -> bytes:
 
 def index(media: DataFrame, column: str = "media") -> DataFrame:
     """Adds to each row of a table with a binary column: codec, duration_s, n_samples, keyframes (place, length, time), error."""
-    schema = "codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long,time_s:double>>, error string"
+    at = media.columns.index(column)
+    own = T._parse_datatype_string("codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long,time_s:double>>, error string")
 
-    @F.pandas_udf(schema)
-    def read(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("time_s", pa.float64())])
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(key), pa.string())
+        for batch in slices(batches):
             rows = []
-            for data in batch:
+            for data in batch.column(at).to_pylist():
+                if data is None:
+                    rows.append((None,) * 5)
+                    continue
                 try:
-                    t = tracks(bytes(data))[0] if data is not None else None
-                    if t is None:
-                        rows.append((None, None, None, None, None))
-                        continue
+                    found = tracks(data)
+                    if not found:
+                        raise ValueError("no track")
+                    t = found[0]
                     scale = max(1, t["timescale"])
-                    keys = [{"offset": int(a), "length": int(n), "time_s": int(s) / scale} for a, n, s, k in zip(t["offset"], t["size"], t["time"], t["keyframe"], strict=True) if k]
-                    rows.append((t["codec"], t["duration"] / scale, len(t["size"]), keys, None))
+                    places = zip(t["offset"].tolist(), t["size"].tolist(), t["time"].tolist(), t["keyframe"].tolist(), strict=True)
+                    rows.append((t["codec"], t["duration"] / scale, len(t["size"]), [{"offset": a, "length": n, "time_s": s / scale} for a, n, s, k in places if k], None))
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((None, None, None, None, str(e) or "no track"))
-            yield pd.DataFrame(rows, columns=["codec", "duration_s", "n_samples", "keyframes", "error"])
+                    rows.append((None, None, None, None, str(e)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*batch.schema.names, *own.fieldNames()])
 
-    return media.withColumn("_media_index", read(F.col(column).cast("binary"))).select(*media.columns, "_media_index.*")
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, *own.fields]))
 
 
 def stored(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, slices
 
@@ -178,9 +179,10 @@ def keep_first(docs: DataFrame, limit: int = 3) -> DataFrame:
 def fingerprints_with(docs: DataFrame) -> DataFrame:
     """The rows with their fingerprint beside."""
 
-    @F.pandas_udf("string")
-    def digits(batches: Iterator) -> Iterator:
-        for batch in batches:
-            yield batch.map(lambda x: f"{fingerprint(x):016x}")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"{fingerprint(x):016x}" for x in batch.column(at).to_pylist()], pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.withColumn("fingerprint", digits(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
