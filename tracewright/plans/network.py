@@ -153,11 +153,29 @@ def agg22_project(spark, d):
     return roadnet.project(pts, s).select("traj_id", F.col("seq").cast("long"), "road_id", F.round("err", 3).alias("err"), F.round("to_node", 3).alias("to_node"))
 
 
-_near = net("traces") + "," + hit("SELECT t.traj_id, t.seq, t.lat, t.lon, s.* FROM traces t JOIN segs s ON t.lat BETWEEN least(s.s_lat, s.e_lat) - 0.0095 AND greatest(s.s_lat, s.e_lat) + 0.0095 AND t.lon BETWEEN least(s.s_lon, s.e_lon) - 0.0135 AND greatest(s.s_lon, s.e_lon) + 0.0135", "traj_id, seq, road_id, seg_id, sum_after") + f""",
+def near_sql(points: str) -> str:
+    """The nearest segment of every road within the cap of rows of a view."""
+    box = "{p}.lat BETWEEN least(s.s_lat, s.e_lat) - 0.0095 AND greatest(s.s_lat, s.e_lat) + 0.0095 AND {p}.lon BETWEEN least(s.s_lon, s.e_lon) - 0.0135 AND greatest(s.s_lon, s.e_lon) + 0.0135".format(p="t")
+    return net(points) + "," + hit(f"SELECT t.traj_id, t.seq, t.lat, t.lon, s.* FROM {points} t JOIN segs s ON {box}", "traj_id, seq, road_id, seg_id, sum_after") + f""",
 best AS (SELECT traj_id, seq, road_id, dist AS err, greatest(sum_after - {hav("c_lat", "c_lon", "s_lat", "s_lon")}, 0) AS to_node FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, seq, road_id ORDER BY dist, seg_id) AS rn FROM hits WHERE dist <= 960) AS h WHERE rn = 1)"""
-_candidates = _near + """, r2 AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY err, road_id) AS rk FROM best),
+
+
+CANDIDATES = """, r2 AS (SELECT *, row_number() OVER (PARTITION BY traj_id, seq ORDER BY err, road_id) AS rk FROM best),
 lim AS (SELECT traj_id, seq, coalesce(least(greatest(60, ceil(max(CASE WHEN rk = 2 THEN err END) / 60) * 60), 960), 960) AS radius FROM r2 GROUP BY traj_id, seq),
 cand AS (SELECT b.*, radius FROM best b JOIN lim USING (traj_id, seq) WHERE err <= radius)"""
+_near = near_sql("traces")
+_candidates = _near + CANDIDATES
+
+
+@query(near_sql("sparse") + CANDIDATES + f""", pt AS (SELECT traj_id, seq, ts, lat, lon, lag(seq) OVER w AS s0, lag(ts) OVER w AS t0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM sparse WINDOW w AS (PARTITION BY traj_id ORDER BY seq))
+SELECT p.traj_id, CAST(p.seq AS BIGINT) AS seq, a.road_id AS road_a, b.road_id AS road_b, round(a.to_node, 3) AS left_a, round(b.to_node, 3) AS left_b, CAST(ts - t0 AS DOUBLE) AS span, round({hav("lat0", "lon0", "lat", "lon")}, 3) AS straight
+FROM pt p JOIN cand a ON a.traj_id = p.traj_id AND a.seq = p.s0 JOIN cand b ON b.traj_id = p.traj_id AND b.seq = p.seq""")
+def jn5_transitions(spark, d):
+    from ..operators import matching
+
+    pts = view(spark, d, "sparse")
+    t = matching.transitions(candidates.candidates(pts, base(spark, d)[2]), pts)
+    return t.select("traj_id", F.col("seq").cast("long"), "road_a", "road_b", F.round("left_a", 3).alias("left_a"), F.round("left_b", 3).alias("left_b"), "span", F.round("straight", 3).alias("straight"))
 
 
 @query(_candidates + " SELECT traj_id, CAST(seq AS BIGINT) AS seq, road_id, round(err, 3) AS err, round(to_node, 3) AS to_node, CAST(radius AS BIGINT) AS radius FROM cand")
