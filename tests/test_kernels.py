@@ -196,7 +196,7 @@ def test_training_learns(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))
     rows = spark.createDataFrame([([float(v) for v in a], float(2 * a[0] - a[1])) for a in x], "x array<double>, y double").repartition(3)
-    model, history = speed_model.train(rows, rows, rounds=1, epochs=12, layers=(16,))
+    model, history = speed_model.train(rows, rows, rounds=1, epochs=12, layers=(16,), size_of_batch=50)
     assert min(history) < 0.5 * history[0] or min(history) < 0.5
     speed_model.save(model, str(tmp_path / "m.npz"))
     assert np.allclose(speed_model.load(str(tmp_path / "m.npz")).predict(x), model.predict(x))
