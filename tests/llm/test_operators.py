@@ -258,6 +258,19 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.keep_clean(odd, items).count() == odd.count()
 
 
+def test_decontamination_finds_short_items_in_long_documents(spark):
+    rng = random.Random(21)
+    texts = [" ".join(f"s{i}x{k}" for k in range(5 + i % 5)) for i in range(60)]
+    items = spark.createDataFrame([*enumerate(texts)], "item_id long, text string")
+    docs = []
+    for i, x in enumerate(texts):
+        w = [f"w{rng.randrange(50_000)}" for _ in range(2000 + 50 * i)]
+        w[700:700] = x.split()
+        docs.append((i, " ".join(w)))
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(60)} and all(r.containment == 1 for r in found)
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, sentence(rng, 80) if i % 4 else " | ".join(WORDS) + " ### $$$" * 20) for i in range(600)]

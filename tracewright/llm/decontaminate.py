@@ -3,9 +3,10 @@
 Test items are short and documents long, so a signature of fixed length would miss what they share. Documents are
 therefore partitioned by size, and partition p (up to 2**p shingles) gets 2**p bins: one-permutation MinHash keeps the
 smallest shingle hash of each bin. A shared shingle is its bin's smallest with a chance of 0.63 or more, whatever
-the document's length, so an item that shares ten shingles is missed once in 20,000, and one that shares thirty never in
-practice. An item whose shingle is the minimum of a document's bin is a candidate; candidates are verified by
-counting their distinct shingles in the document, exactly, as strings.
+the document's length. Items that may be found by fewer than ``EXACT`` shared shingles would be missed by chance (one
+of a single shingle in a third of all cases), so they are looked up among all of the document's shingle hashes, and none is
+lost. For the others the bins' minima are enough: all of 32 shared shingles miss them once in 10**13 pairs.
+Candidates are verified by counting their distinct shingles in the document, exactly, as strings.
 
 Everything is DataFrame expressions: hashes, bins and minima are array functions on each row, so no shingle is shuffled.
 The items' shingles are broadcast if ``BROADCAST_ROWS`` rows or fewer, counted first, and else joined by shuffles; so are candidates.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WORDS, THRESHOLD = 5, 0.8
+EXACT = 32
 BROADCAST_ROWS = 200_000
 WHITE = "\t\n\x0b\x0c\r"
 
@@ -73,17 +75,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct doc_id, item_id by MinHash; ``items`` has item_id and _hashes."""
-    probes = materialise(items.select("item_id", F.explode(F.array_distinct("_hashes")).alias("h")), "probes")
+def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct doc_id, item_id by MinHash, and by all hashes for items of few shingles; ``items`` has item_id and _hashes."""
+    own = F.array_distinct("_hashes")
+    few = F.lit(threshold) * F.size(own) <= EXACT - 1
+    probes = materialise(items.select("item_id", few.alias("_few"), F.explode(own).alias("h")), "probes")
     rows = with_hashes(docs.select("doc_id", "text"), "text").select("doc_id", "_hashes")
     ordered, bits = signature(F.col("_hashes"))
     rows = rows.select("doc_id", ordered.alias("_h"), bits.alias("_bits"))
     shift = F.lit(64) - F.col("_bits")
     bin_of = lambda x: F.call_function("shiftright", x, shift)
-    minima = F.filter("_h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("_h", i - 1))))
+    smallest = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("_h", i - 1)))
+    if probes.where("_few").limit(1).count():
+        kept = F.transform("_h", lambda x, i: F.struct(x.alias("h"), smallest(x, i).alias("least")))
+    else:
+        kept = F.transform(F.filter("_h", smallest), lambda x: F.struct(x.alias("h"), F.lit(True).alias("least")))
     # an outer explode: the inner one comes with a filter on the array's size, which would be pushed below the hashes and repeat them
-    return rows.select("doc_id", F.explode_outer(minima).alias("h")).join(_small(probes), "h").select("doc_id", "item_id").distinct()
+    rows = rows.select("doc_id", F.explode_outer(kept).alias("_at")).select("doc_id", "_at.h", "_at.least")
+    return rows.join(_small(probes), "h").where("_few OR least").select("doc_id", "item_id").distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,7 +100,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = materialise(with_hashes(items, "text").select("item_id", "_hashes", shingles_of(F.col("_words")).alias("_item")).where(F.size("_item") > 0), "items")
-    pairs = materialise(candidates(docs, items).groupBy("doc_id").agg(F.collect_set("item_id").alias("_items")), "candidates").withColumnRenamed("doc_id", "_id")
+    pairs = materialise(candidates(docs, items, threshold).groupBy("doc_id").agg(F.collect_set("item_id").alias("_items")), "candidates").withColumnRenamed("doc_id", "_id")
     found = docs.join(_small(pairs), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "_items", words_of(F.col("text")).alias("_words"))
     found = found.select("doc_id", "_items", shingles_of(F.col("_words")).alias("_doc"))
     each = found.select("doc_id", "_doc", F.explode("_items").alias("item_id")).join(_small(items.select("item_id", "_item")), "item_id")
