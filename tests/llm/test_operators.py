@@ -271,6 +271,28 @@ def test_decontamination_finds_short_items_in_long_documents(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(60)} and all(r.containment == 1 for r in found)
 
 
+def test_stages_decide_by_row(spark):
+    rng = random.Random(31)
+    free = lambda n=60: " ".join(f"f{rng.randrange(100_000)}" for _ in range(n))
+    item, near = free(), free(900).split()
+    copies = [" ".join(near[:k] + ["other"] + near[k + 1 :]) for k in range(0, 900, 10)]
+    prints = {x: simhash.fingerprint(x) for x in copies}
+    first = copies[0]
+    linked = next(x for x in copies if 0 < (prints[x] ^ prints[first]).bit_count() <= 3)
+    clean = [free() for _ in range(4)]
+    schema = "doc_id long, text string"
+    # an id of two unlinked texts, nulls of two unlinked texts, and near copies without an id
+    rows = [(1, clean[0]), (1, clean[1]), (None, clean[2]), (None, clean[3]), (None, first), (None, linked)]
+    kept = sorted((r.text for r in simhash.keep_first(spark.createDataFrame(rows, schema).repartition(3)).collect()))
+    assert kept == sorted([*clean, min(first, linked)])
+    rows = [(7, first), (7, linked), (None, linked), (8, first)]
+    assert [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, schema)).collect()] == [(7, min(first, linked))]
+    # one contaminated row of a null and of a repeated id
+    rows = [(None, clean[0]), (None, "x " + item), (None, clean[1]), (5, item + " y"), (5, clean[2]), (6, clean[3])]
+    found = decontaminate.keep_clean(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in found.collect()) == sorted(clean)
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, sentence(rng, 80) if i % 4 else " | ".join(WORDS) + " ### $$$" * 20) for i in range(600)]

@@ -38,6 +38,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs`` stored with a key of its own for every row, ``_row``: ids may be null or repeated, and no key changes when the table is read again."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into small ones, so that what a worker derives from one stays small."""
     for batch in batches:

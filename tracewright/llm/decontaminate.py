@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_rows
 
 WORDS, THRESHOLD = 5, 0.8
 EXACT = 32
@@ -111,9 +111,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that contain no item."""
-    bad = materialise(find(docs, benchmark, threshold).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(_small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows that contain no item. Each row is judged by its own text, whatever other rows of its id hold."""
+    keyed = with_rows(docs, "rows")
+    found = find(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, threshold)
+    bad = materialise(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return keyed.join(_small(bad), "_row", "left_anti").select(*docs.columns)
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import materialise, slices, with_rows
 
 BLOCKS, AGREE = 6, 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -46,15 +45,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row, and the column ``key`` if named."""
+    kept = [] if key is None else [key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *kept])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {k} long" for k in kept))
 
 
 def masks(limit: int) -> list[int]:
@@ -162,27 +163,21 @@ def cluster(docs: DataFrame, limit: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, limit: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (if rows repeat it, the one whose text sorts first).
 
-    A group without any id keeps a row too.
+    Rows are told apart by a key of their own, not by doc_id: rows that share an id, or have none, stay if their texts
+    aren't linked. A group without any id keeps the row whose text sorts first.
     """
-    found = cluster(docs, limit)
-    # by id where there is one; the rows without are judged by their fingerprint
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not docs.where("doc_id IS NULL").limit(1).count():
-        return kept
-    bare = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint")
-    loose = docs.where("doc_id IS NULL")
-    prints = fingerprints_with(loose).join(bare.distinct(), "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
-    return kept.unionByName(prints.select(*docs.columns))
-
-
-def fingerprints_with(docs: DataFrame) -> DataFrame:
-    """The rows with their fingerprint beside."""
-
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"{fingerprint(x):016x}" for x in batch.column(at).to_pylist()], pa.string())], names=[*batch.schema.names, "fingerprint"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    keyed = with_rows(docs, "rows")
+    prints = materialise(fingerprints(keyed, "_row"), "fingerprints")
+    classes = materialise(prints.select("fp").distinct(), "classes")
+    roots = components(links(classes, limit)).withColumnRenamed("node", "fp")
+    member = materialise(prints.join(roots, "fp", "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")), "members")
+    by_id = member.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"))
+    head = by_id.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "n", "_row")).alias("h"))
+    head = materialise(head.select("root", "h.*"), "heads")
+    kept, tied = head.where("n = 1").select("_row"), head.where("n > 1").select("root", F.col("doc_id").alias("_id"))
+    if tied.limit(1).count():
+        # only the rows that share the smallest id of their group need their texts
+        own = member.join(tied, "root").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("root", "_row")
+        texts = own.join(keyed.select("_row", "text"), "_row")
+        kept = kept.unionByName(texts.groupBy("root").agg(F.min(F.struct("text", "_row")).alias("m")).select("m._row"))
+    return keyed.join(materialise(kept, "kept"), "_row", "left_semi").select(*docs.columns)
