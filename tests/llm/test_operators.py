@@ -367,3 +367,15 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
     right = sum((url_filter.judge is not None) and ((sum(w[i] for i in url_filter.gram_ids(url_filter.grams_text(*url_filter.split_url(u)))) / 5 + b > 0) == bool(y)) for u, y in url_filter.labelled_urls())
     assert right > 0.95 * len(url_filter.labelled_urls())
+
+
+def test_url_labels_do_not_hold_the_given_hosts(spark, sf_dir):
+    names = lambda urls: {p for u in urls for p in url_filter.split_url(u)[0].split(".")}
+    shared = set(url_filter.PREFIXES) | set(url_filter.DOMAINS) | {"www", "blog", "m", "example", "com", "net", "org", "news", "shop", "en"}
+    trained = names(u for u, _ in url_filter.labelled_urls()) - shared
+    given = names(r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").collect() if r.url) - shared
+    assert not trained & given and not [x for x in trained if x.startswith(("thth", "tion"))]
+    held = {url_filter.split_url(u)[0] for u, _ in url_filter.labelled_urls(held=True)}
+    assert held and not held & {url_filter.split_url(u)[0] for u, _ in url_filter.labelled_urls()}
+    unwanted, wanted = url_filter.held_out_shares()
+    assert unwanted > 0.8 and wanted > 0.95
