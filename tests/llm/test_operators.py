@@ -379,3 +379,22 @@ def test_url_labels_do_not_hold_the_given_hosts(spark, sf_dir):
     assert held and not held & {url_filter.split_url(u)[0] for u, _ in url_filter.labelled_urls()}
     unwanted, wanted = url_filter.held_out_shares()
     assert unwanted > 0.8 and wanted > 0.95
+
+
+def test_media_index_of_many_tracks_and_fragments(spark):
+    data = media.store(bytes(128))
+    boxes = {p: (a, b) for p, a, b in media.walk(data)}
+    a, b = boxes[(b"moov",)]
+    ta, tb = boxes[(b"moov", b"trak")]
+    second = data[ta - 8 : tb].replace(b"raw ", b"sowt")
+    # the second track comes last in moov, so the payload that both share moves by its length
+    moov = media.box(b"moov", data[a:b], second)
+    shift = len(second)
+    at = int.from_bytes(data[boxes[(b"moov", b"trak", b"mdia", b"minf", b"stbl", b"co64")][0] + 8 :][:8], "big")
+    two = (data[: a - 8] + moov + data[b:]).replace(at.to_bytes(8, "big"), (at + shift).to_bytes(8, "big"))
+    fragmented = data + media.box(b"moof", media.box(b"traf"))
+    rows = spark.createDataFrame([(1, bytearray(two)), (2, bytearray(fragmented))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.index(rows).collect()}
+    assert got[1].error is None and [t.codec for t in got[1].tracks] == ["raw ", "sowt"] and got[1].codec == "raw "
+    assert all(t.n_samples == 2 and t.keyframes[0].offset == at + shift for t in got[1].tracks)
+    assert "fragmented" in got[2].error and got[2].tracks is None

@@ -4,7 +4,7 @@
 codec, duration, sample places and the byte ranges of its keyframes. ``store`` writes a payload losslessly as
 one track of raw 8-bit samples, in frames of 64 bytes, the first of each chunk a keyframe.
 
-Defined cases: null media gives null columns and no error; bytes that are no container, are cut short or whose
+Defined cases: null media gives null columns and no error; bytes that are no container, are fragmented, are cut short or whose
 tables contradict each other give ``error`` and null columns, never an exception; a null text is the empty payload (64
 bytes 0); equal texts give equal bytes. Rows are independent: repeated rows repeat, an empty table stays empty.
 """
@@ -68,6 +68,8 @@ def tracks(data: bytes) -> list[dict]:
     """One dict for each track: codec, timescale, duration, and arrays offset, size, time, keyframe of its samples."""
     found: list[dict] = []
     for path, begin, end in walk(data):
+        if path[0] == b"moof" or path[:2] == (b"moov", b"mvex"):
+            raise ValueError("a fragmented file; its samples are not read")
         if path[-1] == b"trak" and path[0] == b"moov":
             found.append({})
         elif path[:2] == (b"moov", b"trak"):
@@ -184,29 +186,35 @@ def store(payload: bytes) -> bytes:
 
 
 def index(media: DataFrame, column: str = "media") -> DataFrame:
-    """Adds to each row of a table with a binary column: codec, duration_s, n_samples, keyframes (place, length, time), error."""
+    """Adds to each row of a table with a binary column: codec, duration_s, n_samples, keyframes (place, length, time), error, tracks.
+
+    ``tracks`` has the first four of every track, in the file's order; the columns beside are those of the first track.
+    """
     at = media.columns.index(column)
-    own = T._parse_datatype_string("codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long,time_s:double>>, error string")
+    own = T._parse_datatype_string("codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long,time_s:double>>, error string, tracks array<struct<codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,length:long,time_s:double>>>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("time_s", pa.float64())])
-        kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(key), pa.string())
+        track = pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(key))])
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(key), pa.string(), pa.list_(track))
         for batch in slices(batches):
             rows = []
             for data in batch.column(at).to_pylist():
                 if data is None:
-                    rows.append((None,) * 5)
+                    rows.append((None,) * 6)
                     continue
                 try:
                     found = tracks(data)
                     if not found:
                         raise ValueError("no track")
-                    t = found[0]
-                    scale = max(1, t["timescale"])
-                    places = zip(t["offset"].tolist(), t["size"].tolist(), t["time"].tolist(), t["keyframe"].tolist(), strict=True)
-                    rows.append((t["codec"], t["duration"] / scale, len(t["size"]), [{"offset": a, "length": n, "time_s": s / scale} for a, n, s, k in places if k], None))
+                    made = []
+                    for t in found:
+                        scale = max(1, t["timescale"])
+                        places = zip(t["offset"].tolist(), t["size"].tolist(), t["time"].tolist(), t["keyframe"].tolist(), strict=True)
+                        made.append({"codec": t["codec"], "duration_s": t["duration"] / scale, "n_samples": len(t["size"]), "keyframes": [{"offset": a, "length": n, "time_s": s / scale} for a, n, s, k in places if k]})
+                    rows.append((*made[0].values(), None, made))
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((None, None, None, None, str(e)))
+                    rows.append((None, None, None, None, str(e), None))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*batch.schema.names, *own.fieldNames()])
 
     return media.mapInArrow(run, T.StructType([*media.schema.fields, *own.fields]))
