@@ -37,6 +37,7 @@ def cut(docs: DataFrame, vocabulary: str, length: int, end_id: int = 0, space: s
         encode, task = tokenizer(vocabulary, space), TaskContext.get().partitionId()
         end, seen = np.array([end_id], encode.dtype).tobytes(), np.zeros(length + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
+        kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
         for batch in slices(batches):
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode.encode(texts(batch.column(1))), strict=True):
@@ -46,11 +47,11 @@ def cut(docs: DataFrame, vocabulary: str, length: int, end_id: int = 0, space: s
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     out.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), int(seen[b - a])))
                     seen[b - a] += 1
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(out), pa.int64())], names=[*names, "task"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, rank long, task long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task long")
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
@@ -176,7 +177,7 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0) -> DataFrame:

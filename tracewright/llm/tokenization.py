@@ -3,12 +3,14 @@
 Encoding is the costly step, and most of a text is units seen before. Where a text is plain (no character
 outside Latin letters, ASCII and a few signs, no special string), it falls apart at single spaces or
 white space into units that this library's own pattern never joins, so each unit is encoded once and its ids
-are kept; a new unit is split by the vocabulary's pattern and its pieces are kept as well. Any other text goes to the library
-whole. Ids come out the same; tests hold both ways together.
+are kept; a new unit is split by the vocabulary's pattern and its pieces are kept as well. New pieces go to the library
+many at once, as one text that it splits at a mark which no piece can hold. Any other text goes to the library whole. Ids
+come out the same; tests hold both ways together.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
@@ -18,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Anything else (other scripts, rare white space, combining marks, special strings) is encoded whole.
 UNUSUAL = re.compile(r"[^\t\n\r -~¡-¬®-įı-ž]|<\|")
@@ -30,6 +32,14 @@ PATTERNS = {
     "dropped": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 CACHED_UNITS, CACHED_PIECES, CACHED_CHARS = 700_000, 500_000, 40
+#: Parts new pieces, and says that a unit has no space before it: not a plain character, so no unit holds it.
+MARK = "\0"
+PIECES_AT_ONCE = 20_000
+#: How byte-level vocabularies spell bytes: printable ones as themselves, others from 256 on, in order.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SELF)}
+#: Line ends beside other white space belong to runs that must not be split.
+RUNS = ("\n\n", "\n\t", "\n\r", "\t\n", "\r\n")
 
 
 class UnitTokenizer:
@@ -47,8 +57,12 @@ class UnitTokenizer:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.known: dict[str, bytes] = {}
         self.split = regex.compile(PATTERNS[space]).findall
-        self.merges = Tokenizer.from_file(path)  # the same model, for pieces that are split already
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = Tokenizer.from_file(path)  # the same model, for pieces that are split, in lower case and spelled already
+        self.merges.no_padding()
+        self.merges.no_truncation()
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Split(SPELLED[0], "isolated")
+        (self.mark,) = self.merges.encode(SPELLED[0], add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str] | None:
@@ -60,17 +74,23 @@ class UnitTokenizer:
         # a space before other white space belongs to a run that must not be split
         if not text or "  " in text or " \n" in text or " \t" in text or " \r" in text:
             return None
+        if "\n" in text and not any(x in text for x in RUNS):
+            text = text.replace("\n", " \n " + MARK)  # a single line end is a piece of its own
         parts = text.split(" ")
-        parts[0] = "\0" + parts[0]  # the first has no space before it
+        parts[0] = MARK + parts[0]
         return parts
 
     def bare(self, unit: str) -> list[str]:
         """The pieces of a unit. Letters with marks after them, as most units are, need no pattern."""
+        if unit == "\n":
+            return [unit]
+        space = ""
+        if self.space == "kept":
+            space, unit = ("", unit[1:]) if unit[:1] == MARK else (" ", unit)
         word = unit.rstrip(string.punctuation)
         if word.isalpha():
-            own = [word if self.space == "dropped" else " " + word]
-            return own if len(word) == len(unit) else [*own, unit[len(word) :]]
-        return self.split(self.spelled(unit))
+            return [space + word] if len(word) == len(unit) else [space + word, unit[len(word) :]]
+        return self.split(space + unit)
 
     def raw(self, found: list[str]) -> list[bytes]:
         return self.packed(self.library.encode_batch_fast(found, add_special_tokens=False)) if found else []
@@ -83,20 +103,33 @@ class UnitTokenizer:
                 a.byteswap()
         return [a.tobytes() for a in made]
 
-    def spelled(self, unit: str) -> str:
-        if self.space == "dropped":
-            return unit
-        return unit[1:] if unit[:1] == "\0" else " " + unit
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some pieces."""
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            text = MARK.join(pieces[i : i + PIECES_AT_ONCE]).encode("utf-8", "surrogatepass").decode("latin-1").translate(SPELLED)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = [*(np.flatnonzero(ids == self.mark) * width).tolist(), len(ids) * width]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], ends, strict=False)]
+        return out
 
     def fresh(self, units: set[str]) -> dict[str, bytes]:
         """Ids of units that aren't known yet; pieces and units are kept as long as there is room."""
-        parts = {u: self.bare(u) for u in units}
-        missing = list({p for own in parts.values() for p in own if p not in self.pieces})
-        made = dict(zip(missing, self.packed(self.merges.encode_batch_fast(missing, add_special_tokens=False)), strict=True)) if missing else {}
-        pieces = self.pieces
-        out = {u: b"".join([pieces[p] if p in pieces else made[p] for p in own]) for u, own in parts.items()}
-        if len(pieces) < CACHED_PIECES:
-            pieces.update((p, b) for p, b in made.items() if len(p) <= CACHED_CHARS)
+        gc.disable()  # a great many short lists, none in a cycle
+        try:
+            parts = {u: self.bare(u) for u in units}
+            pieces = self.pieces
+            missing = list({p for own in parts.values() for p in own if p not in pieces})
+            pieces.update(zip(missing, self.merged(missing), strict=True))
+            out = {u: pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own]) for u, own in parts.items()}
+        finally:
+            gc.enable()
+        full = len(pieces) > CACHED_PIECES
+        for p in missing:
+            if full or len(p) > CACHED_CHARS:
+                del pieces[p]
         if len(self.known) < CACHED_UNITS:
             self.known.update((u, b) for u, b in out.items() if len(u) <= CACHED_CHARS)
         return out
