@@ -61,7 +61,11 @@ def test_prefix_counts_match_the_library():
     found = ["".join(rng.choice("abcdeht  \n.é€😀中▁<s>oun'01") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "   a", "a ", "<s> </s>", "a" * 300]
     for x in found:
         assert c.table(x).tolist() == [len(sp.encode(x[:i])) for i in range(len(x) + 1)], x
-        assert c.total(x) == len(sp.encode(x))
+        for _ in range(2):  # the second time from the tables
+            assert c.table(x)[-1] == len(sp.encode(x))
+    rng = random.Random(8)  # words with punctuation after them, which go on from the word's table
+    for x in (" ".join("".join(rng.choice("abcdehtou") for _ in range(rng.randint(0, 9))) + rng.choice(["", ".", ",", "...", "!?", "'s", "---", "$$$", ");"]) for _ in range(12)) for _ in range(200)):
+        assert c.table(x).tolist() == [len(sp.encode(x[:i])) for i in range(len(x) + 1)], x
 
 
 def test_prefix_tables_answer_budgets(spark, odd, none):
@@ -69,7 +73,7 @@ def test_prefix_tables_answer_budgets(spark, odd, none):
     tables = token_counts.prefix_tables(odd.where("doc_id <> 4"), path)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
-    for r in token_counts.longest_prefix(tables, 3).collect():
+    for r in token_counts.ask(tables, 3).collect():
         fits = [i for i in range(len(texts[r.doc_id]) + 1) if len(sp.encode(texts[r.doc_id][:i])) <= 3]
         assert r.n_chars_kept == max(fits)
     counts = {r.doc_id: r for r in token_counts.count_tokens(odd, path, 4096).collect()}

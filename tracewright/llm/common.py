@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset, as in tests, a folder under the warehouse is used.
+    Where a local session leaves it unset, as in tests, a folder under the warehouse is used; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return base.rstrip("/")
 
@@ -30,17 +32,47 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder once and returns it read from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def with_rows(docs: DataFrame, tag: str) -> DataFrame:
-    """``docs`` stored with a key of its own for every row, ``_row``: ids may be null or repeated, and no key changes when the table is read again."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def private(taken: list[str], name: str) -> str:
+    """A column name that begins with ``name`` and that none of ``taken`` is, in any case of letters."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def given_apart(df: DataFrame, made: list[str]) -> DataFrame:
+    """``df`` with its columns that clash with names an operator adds kept as ``<name>_given``."""
+    taken = [*df.columns, *made]
+    for c in df.columns:
+        if c.lower() in {m.lower() for m in made}:
+            new = private(taken, f"{c}_given")
+            taken.append(new)
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
+def with_rows(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``docs`` stored with a key of its own for every row, and that column's name: ids may be null or repeated, and no key changes when the table is read again."""
+    key = private(docs.columns, "_row")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), tag), key
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -8,25 +8,31 @@ of a single shingle in a third of all cases), so they are looked up among all of
 lost. For the others the bins' minima are enough: all of 32 shared shingles miss them once in 10**13 pairs.
 Candidates are verified by counting their distinct shingles in the document, exactly, as strings.
 
-Everything is DataFrame expressions: hashes, bins and minima are array functions on each row, so no shingle is shuffled.
-The items' shingles are broadcast if ``BROADCAST_ROWS`` rows or fewer, counted first, and else joined by shuffles; so are candidates.
+Shingles that many items hold (a phrase that opens each of them) would bring every such item to every document with the
+phrase. Of an item of n shingles, k of which must be found, any n - k + 1 hold one that is found, so an item of few shingles is
+looked up by its n - k + 1 rarest alone, and nothing is lost; rare means in few items. A larger one leaves out half as many
+of its most frequent, which still leaves dozens that must be shared.
+
+Everything is DataFrame expressions: hashes, bins and minima are array functions on each row, so no document's shingle is
+shuffled. A table is broadcast if it has ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` or less, measured first, and else
+joined by shuffles.
 
 Words are what white space separates, in lower case; a shingle is five words, a shorter text is one shingle. Defined cases:
 a null or wordless text or item matches nothing; an item of under five words matches only a document that is the same
-words; repeated rows count once in results; rows of a null doc_id are found under null; empty tables give an empty result;
-other columns are ignored.
+words; repeated rows count once in results, the best for an id that has several texts; rows of a null doc_id or item_id are found under null; empty tables give an empty result;
+other columns are ignored, and may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, with_rows
 
 WORDS, THRESHOLD = 5, 0.8
 EXACT = 32
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 WHITE = "\t\n\x0b\x0c\r"
 
 
@@ -71,15 +77,29 @@ def signature(hashes: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, if a stored table is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A hint to broadcast, if a stored table is small: its rows are counted, and the bytes of its arrays."""
+    wide = [c for c, kind in df.dtypes if kind.startswith("array<string")]
+    size = sum((F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x) + 16) for c in wide), F.lit(64))
+    held = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held["n"] <= BROADCAST_ROWS and held["bytes"] <= BROADCAST_BYTES else df
 
 
-def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct doc_id, item_id by MinHash, and by all hashes for items of few shingles; ``items`` has item_id and _hashes."""
+def probes_of(items: DataFrame, threshold: float) -> DataFrame:
+    """_key, _few, h: the hashes by which each item is looked up, the rarest among items first."""
     own = F.array_distinct("_hashes")
-    few = F.lit(threshold) * F.size(own) <= EXACT - 1
-    probes = materialise(items.select("item_id", few.alias("_few"), F.explode(own).alias("h")), "probes")
+    rows = items.select("_key", F.size(own).alias("_n"), F.explode(own).alias("h"))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_c"))
+    need = F.ceil(F.lit(threshold) * F.col("_n") - 1e-9)
+    few = need <= EXACT - 1
+    spare = F.when(few, need - 1).otherwise(F.floor((F.col("_n") - need) / 2))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_c", "h"))
+    ranked = rows.join(common, "h").withColumn("_place", place).where(F.col("_place") <= F.col("_n") - spare)
+    return ranked.select("_key", few.alias("_few"), "h")
+
+
+def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct doc_id, _key by MinHash, and by all hashes for items of few shingles; ``items`` has _key and _hashes."""
+    probes = materialise(probes_of(items, threshold), "probes")
     rows = with_hashes(docs.select("doc_id", "text"), "text").select("doc_id", "_hashes")
     ordered, bits = signature(F.col("_hashes"))
     rows = rows.select("doc_id", ordered.alias("_h"), bits.alias("_bits"))
@@ -92,18 +112,19 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         kept = F.transform(F.filter("_h", smallest), lambda x: F.struct(x.alias("h"), F.lit(True).alias("least")))
     # an outer explode: the inner one comes with a filter on the array's size, which would be pushed below the hashes and repeat them
     rows = rows.select("doc_id", F.explode_outer(kept).alias("_at")).select("doc_id", "_at.h", "_at.least")
-    return rows.join(_small(probes), "h").where("_few OR least").select("doc_id", "item_id").distinct()
+    return rows.join(_small(probes), "h").where("_few OR least").select("doc_id", "_key").distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of every pair that reaches the threshold."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = materialise(with_hashes(items, "text").select("item_id", "_hashes", shingles_of(F.col("_words")).alias("_item")).where(F.size("_item") > 0), "items")
-    pairs = materialise(candidates(docs, items, threshold).groupBy("doc_id").agg(F.collect_set("item_id").alias("_items")), "candidates").withColumnRenamed("doc_id", "_id")
+    items = with_hashes(items, "text").select("item_id", "_hashes", shingles_of(F.col("_words")).alias("_item")).where(F.size("_item") > 0)
+    items = materialise(items.withColumn("_key", F.monotonically_increasing_id()), "items")  # ids may be null or repeated
+    pairs = materialise(candidates(docs, items, threshold).groupBy("doc_id").agg(F.collect_set("_key").alias("_items")), "candidates").withColumnRenamed("doc_id", "_id")
     found = docs.join(_small(pairs), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "_items", words_of(F.col("text")).alias("_words"))
     found = found.select("doc_id", "_items", shingles_of(F.col("_words")).alias("_doc"))
-    each = found.select("doc_id", "_doc", F.explode("_items").alias("item_id")).join(_small(items.select("item_id", "_item")), "item_id")
+    each = found.select("doc_id", "_doc", F.explode("_items").alias("_key")).join(_small(items.select("_key", "item_id", "_item")), "_key")
     counted = each.select("doc_id", "item_id", F.size(F.array_intersect("_item", "_doc")).cast("long").alias("n_shared"), F.size("_item").cast("long").alias("n_shingles"))
     kept = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles"))
     best = kept.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_shared", "n_shingles"), F.col("n_shared") / F.col("n_shingles")).alias("m"))
@@ -112,10 +133,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that contain no item. Each row is judged by its own text, whatever other rows of its id hold."""
-    keyed = with_rows(docs, "rows")
-    found = find(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, threshold)
-    bad = materialise(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return keyed.join(_small(bad), "_row", "left_anti").select(*docs.columns)
+    keyed, row = with_rows(docs, "rows")
+    found = find(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, threshold)
+    bad = materialise(found.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return keyed.join(_small(bad), row, "left_anti").select(*docs.columns)
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

@@ -5,7 +5,8 @@ encoded with each dictionary, in blocks so that the dictionary stays useful to t
 of the smallest encoding wins. ``accepted`` is false where the margin over the second best is narrow, and for
 ``und``.
 
-Bound of the fit: about ``SAMPLE_DOCS`` documents a language, by a hash of the id, and ``DICTIONARY_BYTES`` of them.
+Bound of the fit: about ``SAMPLE_DOCS`` documents a language, by a hash of id and text (rows that repeat both are drawn
+once), and of each no more than a dictionary holds, ``DICTIONARY_BYTES``.
 Defined cases: null or letterless text is ``und`` with score 0; rows without a language aren't learned from;
 ties go to the first language by name, with score 0; one language only: score 1; none: ``und``. Repeated rows repeat; an
 empty table gives an empty result; other columns are ignored.
@@ -26,8 +27,7 @@ from .common import slices
 SAMPLE_DOCS = 64
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 4096
-#: The stronger level is for texts of up to so many bytes, where single bytes decide.
-SHORT, STRONG, LIGHT = 2048, 12, 6
+LEVEL = 6  # of compression, for every text
 #: A margin is narrow under this share of the second best size, or under so many bytes.
 NARROW, NARROW_BYTES = 0.003, 1
 UNDETERMINED = "und"
@@ -47,8 +47,9 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     if not sizes:
         return {}
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * SAMPLE_DOCS / n)))])
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("dictionary")), F.lit(1 << 30))
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(share, "lang") * (1 << 30)).collect()
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.lit("dictionary")), F.lit(1 << 30))
+    drawn = rows.select("lang", draw.alias("draw"), "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).where(F.col("draw") < F.try_element_at(share, "lang") * (1 << 30))
+    picked = drawn.groupBy("lang", "draw").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("lang", "draw", "r.*").collect()
     out: dict[str, bytes] = {}
     for row in sorted(picked, key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0)):
         known = out.get(row["lang"], b"")
@@ -60,7 +61,7 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = {level: [self.coder(dictionaries[name], level) for name in self.names] for level in (STRONG, LIGHT)}
+        self.coders = [self.coder(dictionaries[name], LEVEL) for name in self.names]
 
     @staticmethod
     def coder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -74,7 +75,7 @@ class Classifier:
             return UNDETERMINED, 0.0, False
         raw = letters(text)
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(self.coders[STRONG if len(raw) <= SHORT else LIGHT]))
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(self.coders))
         if len(sizes) == 1:
             return self.names[0], 1.0, True
         best, second = sizes[0][0], sizes[1][0]

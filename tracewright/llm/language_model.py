@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, slices
@@ -81,6 +81,7 @@ class Vocabulary:
     distinct: int  # V
     class_tokens: np.ndarray  # of all training tokens, by class
     class_distinct: np.ndarray
+    least: int  # count of known tokens but for the end token: all others have less
     classes: np.ndarray = field(default=None)  # of known tokens
 
     @property
@@ -101,22 +102,32 @@ class Numbers(dict):
 
 
 def summarise(counted: DataFrame) -> Vocabulary:
-    """From the stored table of counts. What reaches the driver has a fixed bound: ``KNOWN`` tokens and a row for each class.
+    """From the stored table of counts. What reaches the driver has a fixed bound: ``KNOWN`` tokens, the end token, and a row for each class.
 
-    The least count of a known token is read off a histogram of counts by steps of an eighth of a power of two, so
-    nothing is sorted; where fewer than ``KNOWN`` tokens have any count, all are known.
+    The least count of a known token is read off a histogram of counts by steps of an eighth of a power of two, and where a
+    step would hold too many, off the counts of that step, so nothing is sorted. Tokens of one count are all known or none.
     """
     step = F.floor(F.log2("n") * 8).cast("int")
-    held, cut = 0, 0
-    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["step"]):
-        held += r["k"]
-        if held > KNOWN:
-            cut = r["step"] + 1
+    by_step = {r["step"]: r["k"] for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 8 * 64 rows at most
+    held, least = 0, 1
+    for at in sorted(by_step, reverse=True):
+        if held + by_step[at] > KNOWN:
+            w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+            counts = counted.where(step == at).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+            # a step of counts up to 2**20 has under 100,000 different ones; beyond, KNOWN tokens of such counts would make 2**37 in all
+            least = counts.withColumn("upto", F.sum("k").over(w)).where(F.col("upto") <= KNOWN - held).agg(F.min("n")).first()[0]
+            if least is None:  # no count of this step fits: what lies above it
+                least = counted.where(step > at).agg(F.min("n")).first()[0]
+            if least is None:
+                least = 1 << 62
             break
-    top = sorted(counted.where(step >= cut).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+        held += by_step[at]
+    top = sorted(counted.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     known = Numbers((bytes(r["word"]), i) for i, r in enumerate(top))
     counts = np.array([r["n"] for r in top], np.int64)
-    classes, heads = np.zeros(len(top), np.int64), 0
+    if END not in known:  # nothing to learn from
+        known[END], counts = len(known), np.append(counts, 0)
+    classes, heads = np.zeros(len(known), np.int64), 0
     for word, i in known.items():
         if word == END:
             classes[i] = HEAD + TAIL
@@ -132,19 +143,19 @@ def summarise(counted: DataFrame) -> Vocabulary:
         distinct[HEAD + _TAIL_OF[r["last"]]] += r["k"]
     total, v = int(tokens.sum()), int(distinct.sum())
     for word, i in known.items():  # heads and the end token leave the class of their last byte
-        if classes[i] < HEAD or classes[i] == HEAD + TAIL:
+        if counts[i] and (classes[i] < HEAD or classes[i] == HEAD + TAIL):
             old = HEAD + _TAIL_OF[word[-1]]
             tokens[old] -= counts[i]
             distinct[old] -= 1
             tokens[classes[i]], distinct[classes[i]] = counts[i], 1
-    return Vocabulary(known, counts, total, v, tokens, distinct, classes)
+    return Vocabulary(known, counts, total, v, tokens, distinct, least, classes)
 
 
 def class_stream(found: list[list[bytes]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For documents one after another: token numbers, their classes, and the classes one and two tokens before (end before a start)."""
     flat = [w for d in found for w in (*d, END)]
     number = v.numbers(flat)
-    classes = np.where(number >= 0, v.classes[np.maximum(number, 0)] if len(v.classes) else 0, -1 - number)
+    classes = np.where(number >= 0, v.classes[np.maximum(number, 0)], -1 - number)
     classes[np.cumsum([len(d) + 1 for d in found]) - 1] = v.end
     one = np.concatenate([[v.end], classes[:-1]])
     two = np.concatenate([[v.end], one[:-1]])
@@ -274,17 +285,17 @@ def score(docs: DataFrame, v: Vocabulary, counted: DataFrame, model: Model, held
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, m, normalisers = shared.value
         key = TaskContext.get().partitionId() << 33
-        log_counts = np.log10(vocabulary.counts + 0.5)
+        log_counts, seen = np.log10(vocabulary.counts + 0.5), (vocabulary.counts > 0).astype(np.int64)
         tailed = (np.arange(size) >= HEAD) & (np.arange(size) != vocabulary.end)
         for batch in slices(batches):
             found = [words(x) for x in batch.column(1).to_pylist()]
             number, word, one, two = class_stream(found, vocabulary)
             bounds = np.cumsum([0, *(len(d) + 1 for d in found)])
             inside = number >= 0
-            own = np.where(inside, log_counts[np.maximum(number, 0)] if len(log_counts) else 0.0, 0.0)
+            own = np.where(inside, log_counts[np.maximum(number, 0)], 0.0)
             within = np.where(tailed[word], own - tail_total[word], 0.0)
             logs = m.log_probability(word, one, two, normalisers) / np.log(10) + within
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (inside.astype(np.int64), own - base_total, logs)] if len(found) else [[]] * 3
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in (seen[np.maximum(number, 0)] * inside, own - base_total, logs)] if len(found) else [[]] * 3
             rows = {name: [] for name, _ in fields}
             rare = np.flatnonzero(~inside)
             at = np.searchsorted(bounds, rare, "right") - 1
@@ -305,7 +316,7 @@ def score(docs: DataFrame, v: Vocabulary, counted: DataFrame, model: Model, held
 
     schema = "word binary, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(held).alias("held_out")).mapInArrow(run, schema)
-    joined = rows.join(counted.where(F.col("n") <= int(v.counts[-1]) if len(v.counts) else F.lit(False)), "word", "left")
+    joined = rows.join(counted.where(F.col("n") < v.least), "word", "left")
     gain = F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))
     seen = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))
     first = {name: F.max(name).alias(name) for name in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")}

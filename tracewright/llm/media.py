@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import given_apart, materialise, slices, texts
 
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 FRAME_BYTES, CHUNK_FRAMES, FRAMES_A_SECOND = 64, 16, 25
-MAX_SAMPLES = 1 << 24
 
 
 def walk(data: bytes, begin: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
@@ -87,7 +86,7 @@ def tracks(data: bytes) -> list[dict]:
         if b"stsz" in boxes:
             begin, end = boxes[b"stsz"]
             same, count = struct.unpack_from(">II", data, begin + 4)
-            if count > MAX_SAMPLES or not same and count > (end - begin - 12) // 4:
+            if count > (len(data) // same if same else (end - begin - 12) // 4):  # more than the file or the table has room for
                 raise ValueError("a size table doesn't hold")
             size = np.full(count, same, np.int64) if same else np.frombuffer(data, ">u4", count, begin + 12).astype(np.int64)
         elif b"stz2" in boxes:
@@ -188,10 +187,12 @@ def store(payload: bytes) -> bytes:
 def index(media: DataFrame, column: str = "media") -> DataFrame:
     """Adds to each row of a table with a binary column: codec, duration_s, n_samples, keyframes (place, length, time), error, tracks.
 
-    ``tracks`` has the first four of every track, in the file's order; the columns beside are those of the first track.
+    ``tracks`` has the first four of every track, in the file's order; the columns beside are those of the first track. A column of
+    the input that has one of these names is kept as ``<name>_given``.
     """
-    at = media.columns.index(column)
     own = T._parse_datatype_string("codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,length:long,time_s:double>>, error string, tracks array<struct<codec:string,duration_s:double,n_samples:long,keyframes:array<struct<offset:long,length:long,time_s:double>>>>")
+    at = media.columns.index(column)
+    media = given_apart(media, own.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("time_s", pa.float64())])
@@ -232,7 +233,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes through boxes and sample tables: the payload's and the file's digests, and a feature string."""
+    """Reads stored bytes (doc_id, n_bytes, media) through boxes and sample tables: the payload's and the file's digests, and a feature string."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -248,3 +249,8 @@ def digests(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def stored_digests(docs: DataFrame) -> DataFrame:
+    """Every text's payload is written in a container to a table in the shared folder, read back from there and digested."""
+    return digests(materialise(stored(docs), "media", compression="zstd"))

@@ -30,7 +30,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.stored(table(spark, sf_dir, "documents")))
+    return media.stored_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

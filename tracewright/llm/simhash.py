@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, with_rows
+from .common import discard, materialise, slices, with_rows
 
 BLOCKS, AGREE = 6, 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -141,12 +141,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct(), "edges")
+        before, now = now, materialise(small.distinct(), "edges")
+        discard(before)
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = sums
-    raise RuntimeError("components didn't settle")
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")  # they take about log(n) squared rounds; nothing is returned, so nothing is lost
 
 
 def cluster(docs: DataFrame, limit: int = 3) -> DataFrame:
@@ -164,10 +165,11 @@ def keep_first(docs: DataFrame, limit: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (if rows repeat it, the one whose text sorts first).
 
     Rows are told apart by a key of their own, not by doc_id: rows that share an id, or have none, stay if their texts
-    aren't linked. A group without any id keeps the row whose text sorts first.
+    aren't linked. A group without any id keeps the row whose text sorts first. What is compared, joined and
+    shuffled are keys and fingerprints; texts are read once for the fingerprints, once for ties, and once for the result.
     """
-    keyed = with_rows(docs, "rows")
-    prints = materialise(fingerprints(keyed, "_row"), "fingerprints")
+    keyed, row = with_rows(docs, "rows")
+    prints = materialise(fingerprints(keyed, row).withColumnRenamed(row, "_row"), "fingerprints")
     classes = materialise(prints.select("fp").distinct(), "classes")
     roots = components(links(classes, limit)).withColumnRenamed("node", "fp")
     member = materialise(prints.join(roots, "fp", "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")), "members")
@@ -178,6 +180,8 @@ def keep_first(docs: DataFrame, limit: int = 3) -> DataFrame:
     if tied.limit(1).count():
         # only the rows that share the smallest id of their group need their texts
         own = member.join(tied, "root").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("root", "_row")
-        texts = own.join(keyed.select("_row", "text"), "_row")
+        texts = own.join(keyed.select(F.col(row).alias("_row"), "text"), "_row")
         kept = kept.unionByName(texts.groupBy("root").agg(F.min(F.struct("text", "_row")).alias("m")).select("m._row"))
-    return keyed.join(materialise(kept, "kept"), "_row", "left_semi").select(*docs.columns)
+    kept = materialise(kept.withColumnRenamed("_row", row), "kept")
+    # keys are hashed, so texts are dealt but not sorted
+    return keyed.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

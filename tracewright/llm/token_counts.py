@@ -1,19 +1,23 @@
-"""Exact token counts at every prefix of a text, by dynamic programming.
+"""Exact token counts at every prefix of a text, by dynamic programming, stored and then asked.
 
 For a byte-pair encoding whose merges are ordered by priority, the encoding of a prefix is fixed by its last
 token: the longest piece ``t`` that ends the prefix such that the last token before it and ``t``, merged
 on their own, stay as they are. So ``count[i] = count[i - len(t)] + 1``, and ``last[i] = t``. Pieces of this
 vocabulary never hold a space mark after another character, so a text falls into units (a run of spaces
-and what follows up to the next space) that are encoded apart; tables of units are kept, and a text's
-table is the running sum over its units.
+and what follows up to the next space) that are encoded apart; tables of units are kept. A unit that ends in punctuation goes on
+from the table of the word before it where no piece spans both.
 
-Defined cases: null is the empty text, with no token; repeated rows get a row each; an empty table gives an
+A text's table is stored as ``steps``, a byte for each character: by how much its count differs from that of the prefix before
+(a merge can lower it). Counts, limits and truncations are read off the stored steps, without the text.
+
+Defined cases: null is the empty text, with no token and no steps; repeated rows get a row each; an empty table gives an
 empty result; other columns are not touched. A unit of any length takes time in proportion to it.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +27,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import materialise, slices, texts
 
 UNIT = re.compile(" +[^ ]*")
 MARK = "▁"
-CACHED_UNITS, CACHED_CHARS = 600_000, 40
+CACHED_UNITS, CACHED_WORDS, CACHED_CHARS = 600_000, 400_000, 40
 
 
 class PrefixCounter:
@@ -38,14 +42,16 @@ class PrefixCounter:
         normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.priority = {model.id_to_piece(i): model.get_score(i) for i in normal}
         self.joined: dict[tuple[str, str], bool] = {}
-        self.counts: dict[str, int] = {}
+        self.units: dict[str, bytes] = {}  # steps of units
+        self.words: dict[str, tuple[bytes, str]] = {}  # steps of words and the last token
         #: pieces that their own text is encoded as; only these can be tokens
         self.whole = {p for p in self.priority if len(p) == 1 or self.merge(p) == [p]}
         tails: dict[str, set[int]] = {}
         for piece in self.whole:
             if len(piece) > 1:
-                tails.setdefault(piece[-1], set()).add(len(piece))
-        self.tails = {c: tuple(sorted(n, reverse=True)) for c, n in tails.items()}  # by last character
+                tails.setdefault(piece[-2:], set()).add(len(piece))
+        self.tails = {c: tuple(sorted(n, reverse=True)) for c, n in tails.items()}  # lengths of pieces by their last two characters
+        self.pairs = {p[i : i + 2] for p in self.whole for i in range(len(p) - 1)}
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text (spaces written as marks), by its definition: best pair first, leftmost among equals."""
@@ -70,55 +76,71 @@ class PrefixCounter:
             known = self.joined[key] = self.merge(left + right) == [left, right]
         return known
 
-    def unit(self, unit: str) -> list[int]:
-        """Token counts of all prefixes of one unit, the empty one first. A character without a piece costs its bytes."""
-        text = unit.replace(" ", MARK)
-        count, last = [0] * (len(text) + 1), [""] * (len(text) + 1)
-        whole, tails, joined = self.whole, self.tails, self.joined
-        for end in range(1, len(text) + 1):
-            final = text[end - 1]
-            for n in tails.get(final, ()):
+    def extend(self, text: str, before: str = "") -> tuple[bytes, str]:
+        """Steps of a text that is encoded after the token ``before`` (no piece spans both), and its last token. A character without a piece costs its bytes."""
+        whole, tails, joined = self.whole, self.tails.get, self.joined
+        count, last, steps = [0], [before], bytearray()
+        for end, final in enumerate(text, 1):
+            for n in tails(text[end - 2 : end], ()):  # none at the first character
                 if n <= end and (piece := text[end - n : end]) in whole:
-                    before = last[end - n]
-                    if not before or (joined[before, piece] if (before, piece) in joined else self.stays(before, piece)):
-                        count[end], last[end] = count[end - n] + 1, piece
+                    left = last[end - n]
+                    if not left or (joined[left, piece] if (left, piece) in joined else self.stays(left, piece)):
+                        now = count[end - n] + 1
                         break
             else:
-                count[end], last[end] = count[end - 1] + (1 if final in whole else len(final.encode())), final
-        return count
-
-    def unit_count(self, unit: str) -> int:
-        """Tokens of one unit, given without its first space. Once the table is full, units new to it are counted each time."""
-        n = self.counts.get(unit)
-        if n is None:
-            n = self.unit(" " + unit)[-1]
-            if len(unit) <= CACHED_CHARS and len(self.counts) < CACHED_UNITS:
-                self.counts[unit] = n
-        return n
-
-    def total(self, text: str) -> int:
-        """Tokens of the whole text: the last entry of its prefix table."""
+                piece = final
+                now = count[-1] + (1 if final in whole else len(final.encode("utf-8", "surrogatepass")))
+            steps.append((now - count[-1]) & 255)
+            count.append(now)
+            last.append(piece)
+        return bytes(steps), last[-1]
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Steps of a space and a word, and the last token."""
+        found = self.words.get(word)
+        if found is None:
+            found = self.extend((" " + word).replace(" ", MARK))
+            if len(word) <= CACHED_CHARS and len(self.words) < CACHED_WORDS:
+                self.words[word] = found
+        return found
+
+    def unit(self, unit: str) -> bytes:
+        """Steps of a space and a unit (given without it). Once the table is full, units new to it are worked out each time."""
+        steps = self.units.get(unit)
+        if steps is None:
+            word = unit.rstrip(string.punctuation)
+            if word and word[-1] != " " and len(word) < len(unit) and word[-1] + unit[len(word)] not in self.pairs:
+                steps, last = self.word(word)
+                steps += self.extend(unit[len(word) :], last)[0]
+            else:
+                steps = self.word(unit)[0]
+            if len(unit) <= CACHED_CHARS and len(self.units) < CACHED_UNITS:
+                self.units[unit] = steps
+        return steps
+
+    def steps(self, text: str) -> bytes:
+        """Signed bytes: one for the space mark that is put before a text, and one for each character. Empty for the empty text."""
         if not text:
-            return 0
+            return b""
         text = text.replace(MARK, " ")
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return sum(self.unit_count(x[1:]) for x in UNIT.findall(" " + text))
-        known, total = self.counts.get, 0
-        for part in text.split(" "):  # the same units; single spaces need no pattern
-            n = known(part)
-            total += self.unit_count(part) if n is None else n
-        return total
+            return b"".join([self.unit(x[1:]) for x in UNIT.findall(" " + text)])
+        parts = text.split(" ")  # the same units; single spaces need no pattern
+        known = list(map(self.units.get, parts))
+        if None in known:
+            known = [self.unit(p) if s is None else s for p, s in zip(parts, known, strict=True)]
+        return b"".join(known)
 
     def table(self, text: str) -> np.ndarray:
-        """Token counts of ``text[:i]`` for every i from 0 to its length; 0 for the empty prefix."""
-        text = text.replace(MARK, " ")
-        out, base, place = np.zeros(len(text) + 1, np.int64), 0, 0
-        for unit in UNIT.findall(" " + text) if text else ():
-            counts = self.unit(unit)
-            own = counts[1:] if place else counts[2:]  # the mark before the first word is not a character of the text
-            out[place + 1 : place + 1 + len(own)] = np.array(own, np.int64) + base
-            place, base = place + len(own), base + counts[-1]
-        return out
+        """Token counts of ``text[:i]`` for every i from 0 to its length."""
+        return counts(self.steps(text))
+
+
+def counts(steps: bytes) -> np.ndarray:
+    """The table that steps stand for: 0 for the empty prefix, then the count at every character."""
+    made = np.cumsum(np.frombuffer(steps or b"\0", np.int8), dtype=np.int64)
+    made[0] = 0  # the mark alone is no prefix of the text
+    return made
 
 
 @lru_cache(2)
@@ -126,35 +148,35 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row; one pass, no shuffle."""
+def prefix_tables(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_bytes (UTF-8) and ``steps`` of every row; one pass, no shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
         for batch in slices(batches, 2000):
             found = texts(batch.column(1))
-            n = [c.total(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x.encode()) for x in found], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            columns = [batch.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in found], pa.int64()), pa.array([c.steps(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "steps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fill, "doc_id long, n_bytes long, steps binary")
 
 
-def prefix_tables(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and ``prefix_tokens``: array of the token counts of all prefixes, by characters, the empty one first."""
+def ask(tables: DataFrame, limit: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and n_chars_kept (the longest prefix of at most ``limit`` tokens), read off stored tables."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model_path)
-        for batch in slices(batches, 64, 500_000):
-            tables = [c.table(x).astype(np.int32) for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            total, kept = [], []
+            for steps in batch.column(2).to_pylist():
+                n = int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))
+                total.append(n)
+                kept.append(max(0, len(steps) - 1) if n <= limit else int(np.flatnonzero(counts(steps) <= limit)[-1]))
+            columns = [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array([n > limit for n in total], pa.bool_()), pa.array(kept, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars_kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fill, "doc_id long, prefix_tokens array<int>")
+    return tables.select("doc_id", "n_bytes", "steps").mapInArrow(answer, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_kept long")
 
 
-def longest_prefix(tables: DataFrame, budget: int) -> DataFrame:
-    """Adds ``n_chars_kept``: the longest prefix of at most ``budget`` tokens, read off the stored table."""
-    fits = F.filter(F.sequence(F.lit(0), F.size("prefix_tokens") - 1), lambda i: F.get("prefix_tokens", i) <= budget)
-    return tables.withColumn("n_chars_kept", F.coalesce(F.array_max(fits), F.lit(0)))
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+    """Stores the prefix tables of all rows in the shared folder and asks them."""
+    return ask(materialise(prefix_tables(docs, model_path), "prefix-tables", compression="zstd"), limit)
