@@ -38,7 +38,7 @@ def cut(docs: DataFrame, vocabulary: str, length: int, end_id: int = 0, space: s
         end, seen = np.array([end_id], encode.dtype).tobytes(), np.zeros(length + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
         kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode.encode(texts(batch.column(1))), strict=True):
                 ids = np.frombuffer(raw + end, encode.dtype).astype("<u4")

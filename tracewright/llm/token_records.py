@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
 
         manifest = pa.schema([("task", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
         end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             ids = encode.encode(texts(batch.column(1)))
             for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                 if out is None:

@@ -2,10 +2,11 @@
 
 Encoding is the costly step, and most of a text is units seen before. Where a text is plain (no character
 outside Latin letters, ASCII and a few signs, no special string), it falls apart at single spaces or
-white space into units that this library's own pattern never joins, so each unit is encoded once and its ids
-are kept; a new unit is split by the vocabulary's pattern and its pieces are kept as well. New pieces go to the library
-many at once, as one text that it splits at a mark which no piece can hold. Any other text goes to the library whole. Ids
-come out the same; tests hold both ways together.
+white space into units that this library's own pattern never joins. Splitting texts, numbering the distinct units of a batch and
+putting their ids in the place of numbers are array operations; only distinct units are looked up in a table, one by one. A unit is
+encoded once and its ids are kept; a new one is split by the vocabulary's pattern and its pieces are kept as well. New pieces go to
+the library many at once, as one text that it splits at a mark which no piece can hold. Any other text goes to the
+library whole. Ids come out the same; tests hold both ways together.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -31,7 +34,7 @@ PATTERNS = {
     "kept": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "dropped": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-CACHED_UNITS, CACHED_PIECES, CACHED_CHARS = 700_000, 500_000, 40
+CACHED_UNITS, CACHED_PIECES, CACHED_CHARS = 500_000, 350_000, 40
 #: Parts new pieces, and says that a unit has no space before it: not a plain character, so no unit holds it.
 MARK = "\0"
 PIECES_AT_ONCE = 20_000
@@ -65,20 +68,18 @@ class UnitTokenizer:
         (self.mark,) = self.merges.encode(SPELLED[0], add_special_tokens=False).ids
         self.pieces: dict[str, bytes] = {}
 
-    def units(self, text: str) -> list[str] | None:
-        """Units that are encoded apart, or None for a text that is encoded whole."""
+    def prepared(self, text: str) -> str | None:
+        """A text that falls apart into units at spaces (or white space), or None for one that is encoded whole."""
         if "<|" in text or text.encode("utf-8", "surrogatepass").translate(None, PLAIN) and UNUSUAL.search(text) or not text.isascii() and ("\u0130" in text or "\u017f" in text):
             return None
         if self.space == "dropped":
-            return text.lower().split()
+            return text.lower()
         # a space before other white space belongs to a run that must not be split
         if not text or "  " in text or " \n" in text or " \t" in text or " \r" in text:
             return None
         if "\n" in text and not any(x in text for x in RUNS):
             text = text.replace("\n", " \n " + MARK)  # a single line end is a piece of its own
-        parts = text.split(" ")
-        parts[0] = MARK + parts[0]
-        return parts
+        return MARK + text
 
     def bare(self, unit: str) -> list[str]:
         """The pieces of a unit. Letters with marks after them, as most units are, need no pattern."""
@@ -115,7 +116,7 @@ class UnitTokenizer:
             out += [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], ends, strict=False)]
         return out
 
-    def fresh(self, units: set[str]) -> dict[str, bytes]:
+    def fresh(self, units: list[str]) -> dict[str, bytes]:
         """Ids of units that aren't known yet; pieces and units are kept as long as there is room."""
         gc.disable()  # a great many short lists, none in a cycle
         try:
@@ -135,23 +136,32 @@ class UnitTokenizer:
         return out
 
     def encode(self, found: list[str]) -> list[bytes]:
-        parts = [self.units(x) for x in found]
-        known, missing, held = self.known.get, set(), []
-        for p in parts:
-            ids = list(map(known, p)) if p else []
-            held.append(ids)
-            if None in ids:
-                missing.update([u for u, b in zip(p, ids, strict=True) if b is None])
-        fresh = self.fresh(missing) if missing else {}
-        whole, out = iter(self.raw([x for x, p in zip(found, parts, strict=True) if p is None])), []
-        for p, ids in zip(parts, held, strict=True):
-            if p is None:
-                out.append(next(whole))
-            elif None in ids:
-                out.append(b"".join([fresh[u] if b is None else b for u, b in zip(p, ids, strict=True)]))
-            else:
-                out.append(b"".join(ids))
-        return out
+        ready = [self.prepared(x) for x in found]
+        whole = iter(self.raw([x for x, p in zip(found, ready, strict=True) if p is None]))
+        plain = iter(self.joined([p for p in ready if p is not None]))
+        return [next(whole if p is None else plain) for p in ready]
+
+    def joined(self, ready: list[str]) -> list[bytes]:
+        """Ids of prepared texts: those of their units, one after another."""
+        if not ready:
+            return []
+        texts = pa.array(ready, pa.large_string())
+        parts = pc.split_pattern(texts, " ") if self.space == "kept" else pc.ascii_split_whitespace(texts)
+        numbered = parts.flatten().dictionary_encode()
+        units, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        own = list(map(self.known.get, units))
+        missing = [u for u, b in zip(units, own, strict=True) if b is None]
+        if missing:
+            made = self.fresh(missing)
+            own = [made[u] if b is None else b for u, b in zip(units, own, strict=True)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[number]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(own), self.dtype)
+        ids = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[number] - (ends - size), size)]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(2)
