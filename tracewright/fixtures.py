@@ -34,6 +34,9 @@ SELECT user_id AS traj_id, CAST(seq AS INT) AS seq, 1704067200 + 15 * seq AS ts,
 FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM {events}) AS e""",
     # sparse traces: a point a minute
     "sparse": "SELECT traj_id, CAST(seq / 4 AS INT) AS seq, ts, lat, lon FROM {traces} WHERE seq % 4 = 0",
+    # the same without the points that jump off the lane, of lanes that the network has
+    "calm": """
+SELECT traj_id, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY seq) - 1 AS INT) AS seq, ts, lat, lon FROM {sparse} WHERE lat - 41.10E0 - 0.004E0 * (traj_id % 10) < 0.005E0 AND 10 * (traj_id % 10) < (SELECT count(*) FROM {supplier})""",
     # rows as preprocessing writes them: second of the day, distance left to the node, next road, elapsed seconds
     "trips": """
 SELECT traj_id, seq, road_id, coalesce(nxt, road_id) AS to_road, CAST(ts % 86400 AS DOUBLE) AS t, to_node,

@@ -50,14 +50,31 @@ def limits(counts: DataFrame) -> DataFrame:
     return counts.where("upto >= accept AND accept > 0").groupBy("interval_s").agg((F.min("bin") + 1).alias("up_lim"))
 
 
+PARTS = 4096
+
+
 def seeds(values: DataFrame, counts: DataFrame) -> DataFrame:
-    """interval_s with the order statistics at fixed shares of the positive part."""
+    """interval_s with the order statistics at fixed shares of the positive part.
+
+    A wanted rank is followed from its bin to one of ``PARTS`` parts of the bin, and ranked among the distinct values of that part,
+    each counted once: a bin that holds most of the rows is never sorted in one task.
+    """
     at = F.array(*[F.struct(F.lit(k).alias("name"), (F.col("begins") + F.floor((F.col("accept") - F.col("begins")) * share)).alias("i")) for k, share in SEEDS.items()])
     wanted = counts.where("accept > 0").select("interval_s", "bin", "n", "upto", F.explode(at).alias("a")).where((F.col("a.i") < F.col("upto")) & (F.col("a.i") >= F.col("upto") - F.col("n")))
-    wanted = wanted.select("interval_s", "bin", "a.name", (F.col("a.i") - F.col("upto") + F.col("n") + 1).alias("place"))
-    held = values.withColumn("bin", F.floor("x").cast("long")).join(wanted.select("interval_s", "bin").distinct(), ["interval_s", "bin"], "left_semi")
-    ranked = held.withColumn("place", F.row_number().over(Window.partitionBy("interval_s", "bin").orderBy("x")))
-    return ranked.join(wanted, ["interval_s", "bin", "place"]).groupBy("interval_s").pivot("name", list(SEEDS)).agg(F.first("x"))
+    wanted = F.broadcast(wanted.select("interval_s", "bin", "a.name", (F.col("a.i") - F.col("upto") + F.col("n") + 1).alias("place")))  # three rows an interval
+    part = F.floor((F.col("x") - F.floor("x")) * PARTS).cast("int").alias("part")
+    held = values.select("interval_s", F.floor("x").cast("long").alias("bin"), part, "x")
+    held = held.join(F.broadcast(wanted.select("interval_s", "bin").distinct()), ["interval_s", "bin"], "left_semi")
+    key = ["interval_s", "bin"]
+    for finer in ("part", "x"):
+        sums = held.groupBy(*key, finer).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*key).orderBy(finer).rowsBetween(Window.unboundedPreceding, 0))
+        found = sums.withColumn("upto", upto).join(wanted, key).where((F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n")))
+        wanted = F.broadcast(found.select(*key, finer, "name", (F.col("place") - F.col("upto") + F.col("n")).alias("place")))
+        key = [*key, finer]
+        if finer == "part":
+            held = held.join(F.broadcast(wanted.select(*key).distinct()), key, "left_semi")
+    return wanted.groupBy("interval_s").pivot("name", list(SEEDS)).agg(F.first("x"))
 
 
 def losses(hist: DataFrame, lims: DataFrame, parameters: DataFrame) -> DataFrame:

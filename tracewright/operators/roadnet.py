@@ -6,7 +6,7 @@ gathered in one task; everything stays in generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_between, grid_cell, haversine_m, vec, with_frame, with_hit, with_planar, with_turn
@@ -98,11 +98,11 @@ def located(positions: DataFrame, segs: DataFrame) -> DataFrame:
 
     A position at or beyond the road's start is on the first segment, one at or beyond its end on the last.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("road_id"))
-    s = segs.select("road_id", "seg_id", "s_lat", "s_lon", "e_lat", "e_lon", "len", "sum_after", "cum_angle", n.alias("_n"))
+    # the next segment's own sum, so that ranges meet without a gap or an overlap of rounding
+    low = F.lead("sum_after").over(Window.partitionBy("road_id").orderBy("seg_id"))
+    s = segs.select("road_id", "seg_id", "s_lat", "s_lon", "e_lat", "e_lon", "len", "sum_after", "cum_angle", low.alias("_low"))
     p = F.col("to_node")
-    low = F.col("sum_after") - F.col("len")
-    on = ((p <= F.col("sum_after")) | (F.col("seg_id") == 0)) & ((p > low) | (F.col("seg_id") == F.col("_n") - 1))
+    on = ((p <= F.col("sum_after")) | (F.col("seg_id") == 0)) & (F.col("_low").isNull() | (p > F.col("_low")))
     ratio = (F.col("sum_after") - p) / F.col("len")
     joined = positions.join(s, "road_id").where(on)
     return joined.select(
@@ -135,6 +135,3 @@ def renumbered(ids: DataFrame, column: str = "id") -> DataFrame:
     base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return local.join(F.broadcast(base), "_part").select("old", (F.col("_base") + F.col("_rank")).cast("long").alias("new"))
 
-
-def length_column(name: str = "length_m") -> Column:
-    return F.col(name)

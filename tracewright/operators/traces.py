@@ -56,13 +56,6 @@ def without(traces: DataFrame, *failures: DataFrame) -> DataFrame:
     return traces
 
 
-def framed(lines: DataFrame, value: str = "ts", order: str = "line_no") -> DataFrame:
-    """Adds traj_id to rows of a text: a row whose value is below 1 ends a trace; those rows go, and so do empty traces."""
-    ends = (F.col(value) < 1).cast("int")
-    number = F.coalesce(F.sum(ends).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.withColumn("traj_id", number.cast("long")).where(F.col(value) >= 1)
-
-
 def collapsed(rows: DataFrame, road: str = "road_id") -> DataFrame:
     """Rows where the road changes, renumbered: traj_id, n, road."""
     changed = rows.withColumn("_b", F.lag(road).over(trace())).where(F.col("_b").isNull() | (F.col("_b") != F.col(road)))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import ctes, read, view
-from ..operators import candidates, distributions, features, lights, matching, rating, recovery, roadnet, routing, speed_model, traces
+from ..operators import candidates, criterion, distributions, features, lights, matching, rating, recovery, roadnet, speed_model, traces
 from ..session import stored
+from .network import CANDIDATES, base, near_sql
 from .network import QUERIES as _NETWORK
-from .network import base
 from .sql import hav, net
 
 QUERIES, ORACLES = {}, {}
@@ -64,25 +63,6 @@ def jn15_id_range(spark, d):
     return features.id_range(v, 2).select("road_id", F.round(F.get("vec", 0), 6).alias("v0"), F.size("vec").cast("long").alias("width"))
 
 
-_zero12 = ", ".join(f"0.0E0 AS vec{i}" for i in range(1, 13))
-
-
-@query(net("trips", "placed") + ", " + _samples.split(",\n", 1)[0][:0] + _samples[len(ctes("trips", "edges")) + 2 :] + f""",
-freq AS (SELECT road_id, count(DISTINCT traj_id) * 100.0E0 / (SELECT count(DISTINCT traj_id) FROM placed) AS percent FROM placed GROUP BY road_id),
-nx AS (SELECT a.road_id, count(b.road_id) AS n FROM edges a LEFT JOIN edges b ON a.to_node = b.from_node GROUP BY a.road_id)
-SELECT traj_id, CAST(seq AS BIGINT) AS seq, kind, {_zero12}, round(coalesce(percent, 0), 6) AS vec13, CAST(level AS DOUBLE) AS vec14, round(length_m / 1000, 6) AS vec15, CAST(n AS DOUBLE) AS vec16, round(s.to_node, 4) AS "toNode",
-  round(greatest(0, 1 - s.to_node / 1000 / (length_m / 1000)), 6) AS "roadRatio", 1.0E0 AS "greenProb", round(1 - abs(t - 43200) / 43200, 6) AS time, round(journey, 6) AS journey, round(vel, 6) AS vel
-FROM smp s JOIN rds r ON s.road_id = r.road_id LEFT JOIN freq f ON f.road_id = s.road_id LEFT JOIN nx ON nx.road_id = s.road_id""")
-def fn42_feature_rows(spark, d):
-    e, _, s = base(spark, d)
-    smp = features.samples(features.pairs(view(spark, d, "trips")))
-    nothing = e.select("road_id", F.array_repeat(F.lit(0.0), 12).alias("vec")).where("false")
-    vec = features.road_vectors(roadnet.roads(e, s), nothing, features.road_frequency(view(spark, d, "placed")), roadnet.next_degree(e))
-    rows = features.feature_rows(smp, vec, smp.select("traj_id", "seq", "kind", F.lit(1.0).alias("green")).where("false"))
-    plain = {"traj_id", "seq", "kind"}
-    return rows.select("traj_id", F.col("seq").cast("long"), "kind", *[F.round(c, 4 if c == "toNode" else 6).alias(c) for c in rows.columns if c not in plain])
-
-
 # ---- lights -------------------------------------------------------------------------------------------------------
 
 _light = ctes("trips") + """, l0 AS (SELECT *, floor(elapsed) AS el, lag(road_id) OVER w AS pr, lag(to_road) OVER w AS pto, lag(t) OVER w AS pt, lag(to_node) OVER w AS pn, lag(floor(elapsed)) OVER w AS pe FROM trips WHERE to_node >= 0 WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
@@ -141,21 +121,57 @@ def agg8_light_prior(spark, d):
     return lights.prior(light_series(spark, d)[0]).select("road_id", "to_road", "cnt", F.round("percent", 6).alias("percent"))
 
 
-@query(_phases + """, qs AS (SELECT row_number() OVER (ORDER BY traj_id, seq) AS qid, * FROM trips),
+#: Answers, by qid, for rows of a common table expression qs (qid, road_id, to_road, t, to_node).
+_ANSWERS = """,
 ar AS (SELECT qid, q.road_id, q.to_road, CAST(((round(t - to_node / 3) % 86400) + 86400) % 86400 AS BIGINT) AS a, percent FROM qs q JOIN pri USING (road_id, to_road) WHERE q.road_id <> q.to_road),
 wide AS (SELECT road_id, to_road, sec + o AS sec FROM crs, (SELECT unnest([-86400, 0, 86400]) AS o) AS x),
 pf AS (SELECT ar.*, (SELECT max(w.sec) FROM wide w WHERE w.road_id = ar.road_id AND w.to_road = ar.to_road AND w.sec BETWEEN a - 300 AND a - 1) AS past, (SELECT min(w.sec) FROM wide w WHERE w.road_id = ar.road_id AND w.to_road = ar.to_road AND w.sec BETWEEN a + 1 AND a + 300) AS ahead FROM ar),
 pd AS (SELECT *, ((ahead - past) % 86400 + 86400) % 86400 AS period FROM pf),
 pb AS (SELECT qid, road_id, to_road, o, f, ((at_s + o) % 86400 + 86400) % 86400 AS sec FROM (SELECT qid, road_id, to_road, a AS at_s, 1.0E0 AS f FROM pd UNION ALL SELECT qid, road_id, to_road, a - period, 0.25E0 FROM pd WHERE period IS NOT NULL UNION ALL SELECT qid, road_id, to_road, a + period, 0.25E0 FROM pd WHERE period IS NOT NULL) AS x, (SELECT unnest(range(-5, 6)) AS o) AS y),
-ac AS (SELECT qid, sum(f * coalesce(score, 0) * exp(-o * o / 2.0E0) / sqrt(2 * pi())) AS acc FROM pb p ASOF LEFT JOIN scr s ON p.road_id = s.road_id AND p.to_road = s.to_road AND p.sec >= s.sec GROUP BY qid)
-SELECT q.traj_id, CAST(q.seq AS BIGINT) AS seq, round(coalesce(CASE WHEN 1 / (1 + exp(-acc)) = 0.5 THEN percent ELSE 1 / (1 + exp(-acc)) END, 1), 6) AS green FROM qs q LEFT JOIN ac ON q.qid = ac.qid LEFT JOIN pri p ON p.road_id = q.road_id AND p.to_road = q.to_road""")
+ac AS (SELECT qid, sum(f * coalesce(score, 0) * exp(-o * o / 2.0E0) / sqrt(2 * pi())) AS acc FROM pb p ASOF LEFT JOIN scr s ON p.road_id = s.road_id AND p.to_road = s.to_road AND p.sec >= s.sec GROUP BY qid),
+grn AS (SELECT q.qid, coalesce(CASE WHEN abs(acc) < 1e-9 THEN percent ELSE 1 / (1 + exp(-acc)) END, 1) AS green FROM qs q LEFT JOIN ac ON q.qid = ac.qid LEFT JOIN pri p ON p.road_id = q.road_id AND p.to_road = q.to_road)"""
+
+
+@query(_phases + ", qs AS (SELECT row_number() OVER (ORDER BY traj_id, seq) AS qid, * FROM trips)" + _ANSWERS + """
+SELECT q.traj_id, CAST(q.seq AS BIGINT) AS seq, round(green, 6) AS green FROM qs q JOIN grn USING (qid)""")
 def lt4_light_query(spark, d):
     ok, series = light_series(spark, d)
     ok, series = stored(ok), stored(series)
-    t = view(spark, d, "trips")
-    asked = t.select((F.col("traj_id") * 1_000_000 + F.col("seq")).alias("qid"), "road_id", "to_road", "t", "to_node")
-    found = lights.query(asked, series, lights.phase_changes(series), lights.prior(ok))
-    return found.select(F.floor(F.col("qid") / 1_000_000).alias("traj_id"), (F.col("qid") % 1_000_000).alias("seq"), F.round("green", 6).alias("green"))
+    found = lights.query(view(spark, d, "trips"), series, lights.phase_changes(series), lights.prior(ok), ("traj_id", "seq"))
+    return found.select("traj_id", F.col("seq").cast("long"), F.round("green", 6).alias("green"))
+
+
+# ---- training rows ------------------------------------------------------------------------------------------------
+
+_vec12 = ", ".join(f"((s.road_id * {i + 3}) % 17) / 8.0E0 - 1 AS vec{i}" for i in range(1, 13))
+
+
+def given_embedding(spark, d):
+    """Twelve numbers a road that follow from its id, in place of learned ones, for rows that SQL can check."""
+    made = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: ((F.col("road_id") * (i + 3)) % 17) / F.lit(8.0) - 1)
+    return view(spark, d, "edges").select("road_id", made.alias("vec"))
+
+
+def training_rows(spark, d, embedding):
+    """The rows of the speed model's matrix: samples, road vectors, and the lights' answers at each sample."""
+    e, _, s = base(spark, d)
+    ok, series = (stored(x) for x in light_series(spark, d))
+    smp = features.samples(features.pairs(view(spark, d, "trips")))
+    vec = features.road_vectors(roadnet.roads(e, s), embedding, features.road_frequency(view(spark, d, "placed")), roadnet.next_degree(e))
+    return features.feature_rows(smp, vec, features.green_of(smp, series, lights.phase_changes(series), lights.prior(ok)))
+
+
+@query(_phases.replace(ctes("trips"), net("trips", "placed"), 1) + ", " + _samples[len(ctes("trips", "edges")) + 2 :] + """,
+freq AS (SELECT road_id, count(DISTINCT traj_id) * 100.0E0 / (SELECT count(DISTINCT traj_id) FROM placed) AS percent FROM placed GROUP BY road_id),
+nx AS (SELECT a.road_id, count(b.road_id) AS n FROM edges a LEFT JOIN edges b ON a.to_node = b.from_node GROUP BY a.road_id),
+qs AS (SELECT row_number() OVER (ORDER BY traj_id, seq, kind) AS qid, * FROM smp)""" + _ANSWERS + f"""
+SELECT traj_id, CAST(seq AS BIGINT) AS seq, kind, {_vec12.replace("AS vec", "AS vec")}, round(coalesce(percent, 0), 6) AS vec13, CAST(level AS DOUBLE) AS vec14, round(length_m / 1000, 6) AS vec15, CAST(n AS DOUBLE) AS vec16, round(s.to_node, 4) AS "toNode",
+  round(greatest(0, 1 - s.to_node / 1000 / (length_m / 1000)), 6) AS "roadRatio", round(green, 6) AS "greenProb", round(1 - abs(t - 43200) / 43200, 6) AS time, round(journey, 6) AS journey, round(vel, 6) AS vel
+FROM qs s JOIN grn USING (qid) JOIN rds r ON s.road_id = r.road_id LEFT JOIN freq f ON f.road_id = s.road_id LEFT JOIN nx ON nx.road_id = s.road_id""")
+def fn42_feature_rows(spark, d):
+    rows = training_rows(spark, d, given_embedding(spark, d))
+    plain = {"traj_id", "seq", "kind"}
+    return rows.select("traj_id", F.col("seq").cast("long"), "kind", *[F.round(c, 4 if c == "toNode" else 6).alias(c) for c in rows.columns if c not in plain])
 
 
 # ---- distributions ------------------------------------------------------------------------------------------------
@@ -252,6 +268,53 @@ def fn22_survival_lookup(spark, d):
     return distributions.lookup(asked, stored(survival_table(spark))).select("event_id", F.round("p", 8).alias("p"))
 
 
+def side_tables(spark):
+    """Survival tables of given parameters for turns, for longer and for shorter ways."""
+    grid = spark.sql(_PAR + " FROM (SELECT id AS pid FROM range(5)) AS p")
+    return tuple(stored(distributions.survival(grid.withColumn("sig1", F.col("sig1") + k).withColumn("mu2", F.col("mu2") + 2 * k))) for k in range(3))
+
+
+def _side_sql() -> str:
+    """Common table expressions sv0..sv2, la, br and steps: three tables, and rows to rate."""
+    tables = []
+    for k in range(3):
+        one = _surv.replace("par AS", f"par{k} AS").replace("FROM par,", f"FROM par{k},").replace("gd AS", f"gd{k} AS").replace("FROM gd)", f"FROM gd{k})").replace("kp AS", f"kp{k} AS").replace("FROM kp)", f"FROM kp{k})").replace("sv AS", f"sv{k} AS")
+        tables.append(one.replace("3.0E0 + pid AS sig1", f"3.0E0 + pid + {k} AS sig1").replace("8.0E0 + pid AS mu2", f"8.0E0 + pid + {2 * k} AS mu2"))
+    return "WITH " + ",\n".join(tables) + """, rws AS (SELECT event_id, (event_id % 63) / 20.0E0 - 1.5E0 AS turned, value * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS detour, (event_id % 50) / 2.0E0 AS seconds, CAST(20 + event_id % 90 AS BIGINT) AS gap_s FROM events),
+g AS (SELECT *, least(greatest(gap_s, 30), 90) AS gg, least(greatest(floor((gap_s - 30) / 15.0E0), 0), 4) AS i FROM rws), h AS (SELECT *, CAST(30 + 15 * i AS BIGINT) AS lo, CAST(least(45 + 15 * i, 90) AS BIGINT) AS hi FROM g)"""
+
+
+def _chance_sql(k: int, value: str) -> str:
+    at = lambda side: f"(SELECT s.p FROM sv{k} s WHERE s.interval_s = {side} AND s.bin = least(floor(abs({value}) / 2), (SELECT max(bin) FROM sv{k} m WHERE m.interval_s = {side})))"
+    return f"(CASE WHEN lo = hi THEN {at('lo')} ELSE ({at('lo')} * (hi - gg) + {at('hi')} * (gg - lo)) / (hi - lo) END)"
+
+
+def rated_steps(spark, d):
+    n = F.col("event_id")
+    return read(spark, d, "events").select("event_id", ((n % 63) / 20.0 - 1.5).alias("turned"), (F.col("value") * F.when(n % 3 == 0, -1).otherwise(1)).alias("detour"), ((n % 50) / 2.0).alias("seconds"), (20 + n % 90).alias("gap_s"))
+
+
+@query(_side_sql() + f" SELECT event_id, round(CASE WHEN detour < 0 THEN {_chance_sql(2, 'detour')} ELSE {_chance_sql(1, 'detour')} END, 8) AS p FROM h")
+def fn23_detour_chance(spark, d):
+    _, longer, shorter = side_tables(spark)
+    return criterion.detour_chance(rated_steps(spark, d).withColumnRenamed("detour", "value"), longer, shorter).select("event_id", F.round("p", 8).alias("p"))
+
+
+@query(_side_sql() + f" SELECT event_id, round(CASE WHEN detour < 0 THEN 1 ELSE {_chance_sql(1, 'detour')} END, 8) AS p FROM h")
+def fn24_search_chance(spark, d):
+    _, longer, shorter = side_tables(spark)
+    return criterion.detour_chance(rated_steps(spark, d).withColumnRenamed("detour", "value"), longer, shorter, searching=True).select("event_id", F.round("p", 8).alias("p"))
+
+
+@query(_side_sql() + f""" SELECT event_id, round({_chance_sql(0, 'degrees(turned)')} / greatest(seconds, 1) * CASE WHEN detour < 0 THEN {_chance_sql(2, 'detour')} ELSE {_chance_sql(1, 'detour')} END, 8) AS p,
+  round({_chance_sql(0, 'degrees(turned)')} / greatest(seconds, 1) * CASE WHEN detour < 0 THEN 1 ELSE {_chance_sql(1, 'detour')} END, 8) AS searched FROM h""")
+def fn26_step_chance(spark, d):
+    tables = side_tables(spark)
+    once = criterion.step_chance(rated_steps(spark, d), *tables)
+    again = criterion.step_chance(rated_steps(spark, d), *tables, searching=True)
+    return once.select("event_id", F.round("p", 8).alias("p")).join(again.select("event_id", F.round("p", 8).alias("searched")), "event_id")
+
+
 @query()
 def ml6_fit_distributions(spark, d):
     values, counts = stats(spark, d)
@@ -284,101 +347,145 @@ def gr4_viterbi_cost(spark, d):
     return total.groupBy("traj_id").agg((-F.sum("x")).cast("long").alias("cost"))
 
 
-def matched(spark, d):
-    """Sparse traces matched to the network, with the network."""
+def network_of(spark, d):
+    """Segments, roads and turns of the fixture network, stored."""
     e, _, s = base(spark, d)
     s = stored(s)
     rds = stored(roadnet.roads(e, s))
-    pts = view(spark, d, "sparse")
-    cands = stored(candidates.candidates(pts, s))
-    bad = traces.missing_candidates(pts, cands)
-    cands = traces.without(cands, bad)
-    network = routing.network(rds, roadnet.turns(rds))
-    scored = stored(matching.score_transitions(matching.transitions(cands, pts), network))
-    return stored(matching.match(pts, cands, scored)), network, pts, s
+    return s, rds, stored(roadnet.turns(rds))
+
+
+def matched(spark, d, criterion=None, speeds=None, points="sparse"):
+    """Sparse traces matched to the network: what ``matching.solve`` gives, the points, and the segments."""
+    s, rds, trns = network_of(spark, d)
+    pts = view(spark, d, points)
+    return matching.solve(pts, s, rds, trns, criterion, speeds), pts, s
+
+
+def given_criterion(spark):
+    """The criterion of sparse traces, from survival tables of given parameters, for queries; learned ones come from ``distributions.fit``."""
+    table = criterion.Survival.collected(survival_table(spark))
+    return criterion.Solve(table, table, table)
+
+
+def given_speeds(spark, d):
+    """Mean speeds by level of the dense fixture traces."""
+    p = view(spark, d, "placed").join(view(spark, d, "edges").select("road_id", "level"), "road_id")
+    return traces.level_speeds(p.select("level", F.lit(135.0).alias("length"), F.lit(15.0).alias("elapsed")))
+
+
+def _rows_of(solved):
+    found = solved.matched.select("traj_id", "seq", "road_id", F.round("to_node", 3).alias("to_node"), F.round("length", 3).alias("length"), F.round("turn", 5).alias("turn"), "path")
+    return found.unionByName(solved.failures, allowMissingColumns=True)
 
 
 @query()
 def gr4_map_match(spark, d):
-    found = matched(spark, d)[0]
-    return found.select("traj_id", "seq", "road_id", F.round("to_node", 3).alias("to_node"), F.round("length", 3).alias("length"), "path", "reason")
+    return _rows_of(matched(spark, d)[0])
 
 
-def recovery_steps(found, pts):
-    w = F.sum("length").over(Window.partitionBy("traj_id").orderBy("seq").rowsBetween(-(1 << 30), -1))
-    times = pts.select("traj_id", "seq", F.col("ts").alias("t1"), F.lag("ts").over(traces.trace()).alias("t0"))
-    bad = found.where("reason IS NOT NULL").select("traj_id")
-    rows = found.join(bad, "traj_id", "left_anti").where("path IS NOT NULL").join(times, ["traj_id", "seq"])
-    whole = F.sum("length").over(Window.partitionBy("traj_id"))
-    return rows.select("traj_id", "seq", "t0", "t1", "path", "left_a", F.col("to_node").alias("left_b"), F.coalesce(w, F.lit(0.0)).alias("done"), whole.alias("whole"))
+@query()
+def gr4_solve_match(spark, d):
+    return _rows_of(matched(spark, d, given_criterion(spark), given_speeds(spark, d))[0])
+
+
+@query()
+def gr2_tiled_paths(spark, d):
+    """The router's answers by tiles of the network, for networks too large to send."""
+    s, rds, trns = network_of(spark, d)
+    pts = view(spark, d, "sparse")
+    cands = stored(matching.with_turns(candidates.candidates(pts, s), s))
+    found = matching.score_by_tiles(matching.transitions(cands, pts), rds, trns)
+    return found.select("traj_id", "seq", "road_a", "road_b", F.round("log_p", 4).alias("log_p"), F.round("length", 3).alias("length"), F.round("turn", 5).alias("turn"))
+
+
+_log_emit = "greatest(-err * err / (2 * 4.07E0 * 4.07E0) - ln(4.07E0 * sqrt(2 * pi())), ln(1e-300))"
+_best_scores = (near_sql("calm") + CANDIDATES).replace("WITH ", "WITH RECURSIVE ", 1) + f""", hop AS (SELECT a.road_id AS ra, b.road_id AS rb FROM rds a JOIN rds b ON a.to_node = b.from_node),
+m1 AS (SELECT ra AS s, rb AS t, 0.0E0 AS mid FROM hop),""" + ",".join(
+    f" m{i} AS (SELECT s, t, min(mid) AS mid FROM (SELECT * FROM m{i - 1} UNION ALL SELECT w.s, h.rb, w.mid + r.length_m FROM m{i - 1} w JOIN rds r ON r.road_id = w.t JOIN hop h ON h.ra = w.t) AS x GROUP BY ALL)" for i in range(2, 9)
+) + f""",
+pt AS (SELECT traj_id, seq, ts, lat, lon, lag(seq) OVER w AS s0, lag(ts) OVER w AS t0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM calm WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+st AS (SELECT p.traj_id, p.seq, a.road_id AS road_a, b.road_id AS road_b, ts - t0 AS span, {hav("lat0", "lon0", "lat", "lon")} AS straight, CASE WHEN a.road_id = b.road_id THEN a.to_node - b.to_node ELSE a.to_node + mid + r.length_m - b.to_node END AS length
+  FROM pt p JOIN cand a ON a.traj_id = p.traj_id AND a.seq = p.s0 JOIN cand b ON b.traj_id = p.traj_id AND b.seq = p.seq JOIN rds r ON r.road_id = b.road_id LEFT JOIN m8 ON s = a.road_id AND t = b.road_id),
+tr AS (SELECT traj_id, seq, road_a, road_b, CASE WHEN road_a = road_b THEN -abs(length - straight) / 2 - ln(2.0E0) ELSE greatest(-abs(length - straight) / 2 - ln(2.0E0), ln(1e-300)) END AS log_p FROM st WHERE road_a = road_b OR length < span * 40),
+em AS (SELECT traj_id, seq, road_id, {_log_emit} AS e FROM cand),
+vit(traj_id, seq, road_id, score) AS (SELECT traj_id, seq, road_id, e FROM em WHERE seq = 0
+  UNION ALL SELECT v.traj_id, t.seq, t.road_b, max(v.score + t.log_p + m.e) FROM vit v JOIN tr t ON t.traj_id = v.traj_id AND t.seq = v.seq + 1 AND t.road_a = v.road_id JOIN em m ON m.traj_id = t.traj_id AND m.seq = t.seq AND m.road_id = t.road_b GROUP BY v.traj_id, t.seq, t.road_b),
+whole AS (SELECT traj_id FROM calm EXCEPT SELECT traj_id FROM (SELECT traj_id, seq FROM calm EXCEPT SELECT traj_id, seq FROM cand) AS b)"""
+
+
+@query(_best_scores + """
+SELECT v.traj_id, round(max(score), 3) AS score FROM vit v JOIN whole USING (traj_id) JOIN (SELECT traj_id, max(seq) AS n FROM calm GROUP BY traj_id) AS l ON l.traj_id = v.traj_id AND v.seq = n GROUP BY v.traj_id""")
+def gr4_match_score(spark, d):
+    """Log probability of each trace's best sequence, given the search for ways: what emissions and steps of the matched points add up to."""
+    found = matched(spark, d, points="calm")[0].matched
+    return found.groupBy("traj_id").agg(F.round(F.sum(F.col("log_emit") + F.coalesce("log_p", F.lit(0.0))), 3).alias("score"))
 
 
 @query()
 def gr6_even_recovery(spark, d):
-    found, network, pts, s = matched(spark, d)
-    dense = recovery.recover(recovery_steps(found, pts), network)
+    solved, pts, s = matched(spark, d, given_criterion(spark), given_speeds(spark, d))
+    dense = recovery.recover(recovery.steps_of(solved.matched, pts), solved.net)
     return roadnet.located(dense, s).select("traj_id", "ts", "road_id", F.round("to_node", 3).alias("to_node"), F.round("at_lat", 7).alias("lat"), F.round("at_lon", 7).alias("lon"), "observed")
 
 
-def model_rows(spark, d):
-    rows = _feature_rows(spark, d)
-    return stored(rows.select("x", F.col("vel").alias("y"), "fold"))
+def learned_embedding(spark, d):
+    seqs = view(spark, d, "placed").groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "road_id"))), lambda x: x["road_id"]).alias("roads"))
+    return speed_model.embed_roads(seqs.select("roads"))
 
 
-def _feature_rows(spark, d):
-    f = fn42_feature_rows(spark, d)
-    return f.select(F.pmod(F.xxhash64("traj_id", "seq"), F.lit(5)).alias("fold"), "vel", F.array(*[c for c in f.columns if c not in ("traj_id", "seq", "kind", "vel")]).alias("x"))
+def model_rows(spark, d):
+    """x, y and the fold (a fifth of the samples is held out), with a learned embedding."""
+    f = training_rows(spark, d, stored(learned_embedding(spark, d)))
+    return stored(f.select(F.array(*features.NAMES).alias("x"), F.col("vel").alias("y"), F.pmod(F.xxhash64("traj_id", "seq"), F.lit(5)).alias("fold")))
 
 
-def speed_predictor(model, network):
-    """Speeds for the simulation from a trained model: feature rows are put together for all vehicles at once."""
-    import numpy as np
+_trained: dict = {}
 
-    def predict(road, nxt, left, time, journey):
-        n, km = len(road), network.length[road] / 1000
-        x = np.zeros((n, 21))
-        x[:, 14], x[:, 15] = km, np.diff(network.start)[road]
-        x[:, 16], x[:, 17], x[:, 18] = left, np.maximum(0, 1 - left / 1000 / km), 1.0
-        x[:, 19], x[:, 20] = 1 - np.abs(time % 86400 - 43200) / 43200, journey
-        return model.predict(x)
 
-    return predict
+def trained(spark, d):
+    """The speed model of a folder of tables, by three rounds of up to fifty epochs, its losses and its rows; kept for the session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _trained:
+        rows = model_rows(spark, d)
+        _trained[key] = (*speed_model.train(rows.where("fold <> 0"), rows.where("fold = 0")), rows)
+    return _trained[key]
 
 
 @query()
 def gr5_model_recovery(spark, d):
-    found, network, pts, s = matched(spark, d)
-    rows = model_rows(spark, d)
-    model, _ = speed_model.train(rows.where("fold <> 0").select("x", "y"), rows.where("fold = 0").select("x", "y"), rounds=1, epochs=3)
-    dense = recovery.recover(recovery_steps(found, pts), network, speed_predictor(model, network))
+    solved, pts, _ = matched(spark, d, given_criterion(spark), given_speeds(spark, d))
+    model = trained(spark, d)[0]
+    ok, series = (stored(x) for x in light_series(spark, d))
+    light = lights.LightTable.collected(series, lights.phase_changes(series), lights.prior(ok))
+    e, _, s = base(spark, d)
+    vec = features.road_vectors(roadnet.roads(e, s), stored(learned_embedding(spark, d)), features.road_frequency(view(spark, d, "placed")), roadnet.next_degree(e))
+    predict = recovery.speed_predictor(model, solved.net, features.vector_array(vec, solved.net.ids), light)
+    dense = recovery.recover(recovery.steps_of(solved.matched, pts), solved.net, predict)
     return dense.select("traj_id", "ts", "road_id", F.round("to_node", 3).alias("to_node"), "observed")
 
 
 @query()
 def ml1_road_embedding(spark, d):
-    seqs = view(spark, d, "placed").groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "road_id"))), lambda x: x["road_id"]).alias("roads"))
-    vec = speed_model.embed_roads(seqs.select("roads"))
+    vec = learned_embedding(spark, d)
     return features.id_range(vec.select("road_id", "vec"), 12).select("road_id", F.size("vec").alias("width"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
 
 
 @query()
 def ml2_speed_model(spark, d):
-    rows = model_rows(spark, d)
-    model, history = speed_model.train(rows.where("fold <> 0").select("x", "y"), rows.where("fold = 0").select("x", "y"), rounds=2, epochs=4)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "epoch int, loss double")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(trained(spark, d)[1])], "epoch int, loss double")
 
 
 @query()
 def ml5_infer(spark, d):
-    rows = model_rows(spark, d)
-    model, _ = speed_model.train(rows.where("fold <> 0").select("x", "y"), rows.where("fold = 0").select("x", "y"), rounds=1, epochs=2)
+    model, _, rows = trained(spark, d)
     return speed_model.infer(rows.select("x", "y"), model).select("y", "predicted")
 
 
 @query()
 def gr7_matched_statistics(spark, d):
-    found, _, pts, _ = matched(spark, d)
-    steps = found.where("reason IS NULL").join(pts.select("traj_id", "seq", "lat", "lon"), ["traj_id", "seq"])
+    solved, pts, _ = matched(spark, d)
+    steps = solved.matched.join(pts.select("traj_id", "seq", "lat", "lon"), ["traj_id", "seq"])
     steps = steps.select("traj_id", "seq", "lat", "lon", F.coalesce("turn", F.lit(0.0)).alias("angle"), F.coalesce("length", F.lit(0.0)).alias("length"))
     t = traces.trailing(steps)
     return t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs("turned")), 6).alias("mean_turn"), F.round(F.avg("detour"), 4).alias("mean_detour"))

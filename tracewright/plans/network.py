@@ -136,9 +136,9 @@ def set5_renumber(spark, d):
     return roadnet.renumbered(view(spark, d, "edges").select((F.col("road_id") * 3).alias("id")))
 
 
-@query(net("placed") + """, n AS (SELECT road_id, max(seg_id) AS last FROM segs GROUP BY road_id)
+@query(net("placed") + """, n AS (SELECT *, lead(sum_after) OVER (PARTITION BY road_id ORDER BY seg_id) AS low FROM segs)
 SELECT traj_id, CAST(seq AS BIGINT) AS seq, p.road_id, seg_id, round(cum_angle, 5) AS turned, round(s_lat + (e_lat - s_lat) * (sum_after - to_node) / len, 7) AS at_lat, round(s_lon + (e_lon - s_lon) * (sum_after - to_node) / len, 7) AS at_lon
-FROM placed p JOIN segs s ON p.road_id = s.road_id JOIN n ON n.road_id = s.road_id WHERE (to_node <= sum_after OR seg_id = 0) AND (to_node > sum_after - len OR seg_id = last)""")
+FROM placed p JOIN n AS s ON p.road_id = s.road_id WHERE (to_node <= sum_after OR seg_id = 0) AND (to_node > low OR low IS NULL)""")
 def jn8_locate(spark, d):
     s = base(spark, d)[2]
     found = roadnet.located(view(spark, d, "placed"), s)
@@ -155,8 +155,10 @@ def agg22_project(spark, d):
 
 def near_sql(points: str) -> str:
     """The nearest segment of every road within the cap of rows of a view."""
-    box = "{p}.lat BETWEEN least(s.s_lat, s.e_lat) - 0.0095 AND greatest(s.s_lat, s.e_lat) + 0.0095 AND {p}.lon BETWEEN least(s.s_lon, s.e_lon) - 0.0135 AND greatest(s.s_lon, s.e_lon) + 0.0135".format(p="t")
-    return net(points) + "," + hit(f"SELECT t.traj_id, t.seq, t.lat, t.lon, s.* FROM {points} t JOIN segs s ON {box}", "traj_id, seq, road_id, seg_id, sum_after") + f""",
+    # segments are entered in bands of latitude, which makes a hash join of what would be a range join
+    bands = "(SELECT *, unnest(range(CAST(floor((least(s_lat, e_lat) - 0.0095) / 0.01E0) AS BIGINT), CAST(floor((greatest(s_lat, e_lat) + 0.0095) / 0.01E0) AS BIGINT) + 1)) AS band FROM segs)"
+    box = "s.band = CAST(floor({p}.lat / 0.01E0) AS BIGINT) AND {p}.lat BETWEEN least(s.s_lat, s.e_lat) - 0.0095 AND greatest(s.s_lat, s.e_lat) + 0.0095 AND {p}.lon BETWEEN least(s.s_lon, s.e_lon) - 0.0135 AND greatest(s.s_lon, s.e_lon) + 0.0135".format(p="t")
+    return net(points) + "," + hit(f"SELECT t.traj_id, t.seq, t.lat, t.lon, s.* FROM {points} t JOIN {bands} s ON {box}", "traj_id, seq, road_id, seg_id, sum_after") + f""",
 best AS (SELECT traj_id, seq, road_id, dist AS err, greatest(sum_after - {hav("c_lat", "c_lon", "s_lat", "s_lon")}, 0) AS to_node FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, seq, road_id ORDER BY dist, seg_id) AS rn FROM hits WHERE dist <= 960) AS h WHERE rn = 1)"""
 
 
@@ -174,7 +176,8 @@ def jn5_transitions(spark, d):
     from ..operators import matching
 
     pts = view(spark, d, "sparse")
-    t = matching.transitions(candidates.candidates(pts, base(spark, d)[2]), pts)
+    segs = base(spark, d)[2]
+    t = matching.transitions(matching.with_turns(candidates.candidates(pts, segs), segs), pts)
     return t.select("traj_id", F.col("seq").cast("long"), "road_a", "road_b", F.round("left_a", 3).alias("left_a"), F.round("left_b", 3).alias("left_b"), "span", F.round("straight", 3).alias("straight"))
 
 
