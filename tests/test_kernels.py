@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.fixtures import view
 from tracewright.functions import geo
-from tracewright.operators import distributions, lights, matching, rating, recovery, roadnet, routing, speed_model
+from tracewright.operators import candidates, criterion, distributions, features, lights, matching, rating, recovery, roadnet, routing, speed_model
 
 
 @pytest.fixture(scope="module")
@@ -71,11 +71,156 @@ def test_network_distance_by_all_paths(net):
         assert routing.way(net, a, b, 30.0, 20.0) == pytest.approx(brute(a, b, 30.0, 20.0))
 
 
-def test_best_path_starts_and_ends_right(net):
-    score = lambda detour, turn, seconds, span: math.exp(-abs(detour) / 200)
-    a, b = 0, int(net.after(int(net.after(0)[0]))[0])
-    found = routing.best_path(net, a, b, 50.0, 100.0, (net.lat[a], net.lon[a]), (net.lat[b], net.lon[b]), 120.0, score)
-    assert found is None or (found[3][0] == net.ids[a] and found[3][-1] == net.ids[b] and 0 < found[0] <= 1)
+def turn_of(net, path, q):
+    """Turn of a whole path by its definition: rest of the first road, bends between roads of 15 m or more, whole roads, part of the last."""
+    at = net.number(np.array(path)).tolist()
+    turn = net.own_turn[at[0]] - q.turned_a
+    long = [i for i in at if net.length[i] >= 15]
+    for a, b in itertools.pairwise(long):
+        k = net.start[a] + net.after(a).tolist().index(b) if b in net.after(a).tolist() and at.index(b) == at.index(a) + 1 else None
+        turn += net.turn[k] if k is not None else routing.distant_turn(net, a, b)
+    return turn + sum(net.own_turn[i] for i in at[1:-1]) + q.turned_b
+
+
+def grid(short: bool):
+    """A small network as arrays: nodes of a 3 by 3 grid, roads of 100 m both ways; ``short`` puts a road of 10 m into the first crossing."""
+    import pandas as pd
+
+    place = {n: (41.0 + 0.0009 * (n // 3), -8.0 + 0.0012 * (n % 3)) for n in range(9)}
+    pairs = [(a, b) for a in range(9) for b in range(9) if a != b and abs(a // 3 - b // 3) + abs(a % 3 - b % 3) == 1]
+    if short:
+        place[9] = (place[4][0] + 0.00009, place[4][1])
+        pairs = [(9 if a == 4 and b == 7 else a, b) for a, b in pairs] + [(4, 9)]
+    metres = lambda a, b: float(routing.metres(*place[a], *place[b]))
+    rows = pd.DataFrame([{"road_id": 10 * a + b, "level": 0, "length_m": metres(a, b), "turned": 0.1 * ((a + b) % 3), **{f"{w}_{c}": v for w in ("first", "last") for c, v in zip(("s_lat", "s_lon", "e_lat", "e_lon"), (*place[a], *place[b]), strict=True)}} for a, b in sorted(pairs)])
+    ids = rows.road_id.tolist()
+    follow = pd.DataFrame([(x, y, 0.0) for x in ids for y in ids if x % 10 == y // 10], columns=["road_a", "road_b", "turn"])
+    net = routing.assembled(rows, follow, np.ones(7))
+    net.turn = np.array([routing.distant_turn(net, a, int(b)) for a in range(len(ids)) for b in net.after(a)])  # roads that touch turn by the same rule
+    return net
+
+
+def all_paths(net, a, b, most):
+    """Every way from road a to road b that enters no road twice and has at most so many roads."""
+    stack = [(a,)]
+    while stack:
+        p = stack.pop()
+        for y in net.after(p[-1]).tolist():
+            if y == b:
+                yield (*p, y)
+            elif y not in p and len(p) < most:
+                stack.append((*p, y))
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_best_path_by_all_paths(short):
+    """On a grid the best-rated way is the least, in metres or in a rating that falls along the way; its turn is that of its roads."""
+    net, rng = grid(short), random.Random(6)
+    falling = criterion.Survival(np.array([15, 600]), [np.exp(-np.arange(2000) / 60.0)] * 2)
+    flat = criterion.Survival(np.array([15, 600]), [np.ones(3)] * 2)
+    seen_short = 0
+    for _ in range(40):
+        a, b = rng.sample(range(len(net.ids)), 2)
+        left_a, left_b = rng.uniform(0, net.length[a]), rng.uniform(0, net.length[b])
+        p0 = tuple(net.last[a, 2:] + (net.last[a, :2] - net.last[a, 2:]) * left_a / net.length[a])
+        p1 = tuple(net.last[b, 2:] + (net.last[b, :2] - net.last[b, 2:]) * left_b / net.length[b])
+        q = routing.Question(left_a, left_b, 0.03, 0.05, p0, p1, 60.0)
+        straight = float(routing.metres(*p0, *p1))
+        length = lambda p: left_a + sum(net.length[i] for i in p[1:-1]) + net.length[p[-1]] - left_b  # noqa: B023, E731
+        ways = [p for p in all_paths(net, a, b, 7) if length(p) < 60 * 40]
+        for c in (criterion.Preprocess(), criterion.Solve(flat, falling, falling)):
+            score, metres, turn, path = routing.best_path(net, a, b, q, c)
+            at = net.number(np.array(path)).tolist()
+            assert metres == pytest.approx(length(at)) and metres == pytest.approx(min(map(length, ways)))
+            assert turn == pytest.approx(turn_of(net, path, q))
+            assert score == pytest.approx(c.rate(metres - straight, turn, metres, 60.0, True))
+            seen_short += 49 in path
+            worse = routing.best_path(net, a, b, q, c, floor=score * 1.01)
+            assert worse is None or worse[0] >= score
+    assert seen_short or not short
+
+
+def test_turn_over_a_short_road_is_that_of_the_long_ones():
+    net = grid(True)
+    n = lambda road: int(net.number(np.array([road]))[0])
+    q = routing.Question(50.0, 20.0, 0.0, 0.0, tuple(net.last[n(14), :2]), tuple(net.last[n(97), 2:]), 60.0)
+    found = routing.best_path(net, n(14), n(97), q, criterion.Preprocess())
+    assert found[3] == [14, 49, 97]
+    assert found[2] == pytest.approx(net.own_turn[n(14)] + net.own_turn[n(49)] + routing.distant_turn(net, n(14), n(97)))
+
+
+def test_tiles_give_what_the_whole_network_gives(spark, sf_dir):
+    segs = roadnet.segments(view(spark, sf_dir, "points"))
+    rds = roadnet.roads(view(spark, sf_dir, "edges"), segs)
+    trns = roadnet.turns(rds)
+    pts = view(spark, sf_dir, "sparse").where("traj_id < 4")
+    trans = matching.transitions(matching.with_turns(candidates.candidates(pts, segs), segs), pts)
+    key = lambda df: sorted((r.traj_id, r.seq, r.road_a, r.road_b, round(r.log_p, 6), round(r.length, 4), round(r.turn, 6)) for r in df.collect())
+    whole = key(matching.score_transitions(trans, routing.network(rds, trns)))
+    assert whole and key(matching.score_by_tiles(trans, rds, trns, group_rows=50)) == whole
+
+
+def test_step_chance_in_both_forms(spark):
+    par = "interval_s int, val0 double, sig1 double, s1 double, sig2 double, mu2 double"
+    tables = [distributions.survival(spark.createDataFrame([(30, 0.1, 4.0 + k, 0.5, 5.0, 15.0), (60, 0.2, 6.0, 0.4, 5.0 + k, 20.0)], par)) for k in range(3)]
+    c = criterion.Solve(*[criterion.Survival.collected(t) for t in tables])
+    rows = [(t / 3, d * 7.5, s, g) for t in (-2, 0, 4) for d in (-9, -1, 0, 3, 40) for s in (0.2, 20.0) for g in (15, 30, 44, 60, 90)]
+    asked = spark.createDataFrame(rows, "turned double, detour double, seconds double, gap_s int")
+    for searching in (False, True):
+        for r in criterion.step_chance(asked, *tables, searching=searching).collect():
+            assert r.p == pytest.approx(c.rate(r.detour, r.turned, r.seconds, r.gap_s, searching))
+
+
+def test_groups_decode_like_single_traces():
+    import pandas as pd
+
+    rng = random.Random(9)
+    states, moves, want = [], [], {}
+    for traj in range(40):
+        steps = rng.randint(1, 6)
+        emit = [{s: -rng.randint(0, 3) * 1.0 for s in rng.sample(range(1, 5), rng.randint(1, 4))} for _ in range(steps)]
+        trans = [{}] + [{(a, b): -rng.randint(0, 3) * 1.0 for a in emit[i] for b in emit[i + 1] if rng.random() < 0.7} for i in range(steps - 1)]
+        emit = [dict(sorted(e.items())) for e in emit]
+        want[traj] = matching.decode(emit, trans)
+        states += [(traj, 3 * i, s, v) for i, e in enumerate(emit) for s, v in e.items()]
+        moves += [(traj, 3 * i, a, b, v) for i, t in enumerate(trans) for (a, b), v in t.items()]
+    rng.shuffle(states)
+    rng.shuffle(moves)
+    got = matching.decode_group(pd.DataFrame(states, columns=["traj_id", "seq", "state", "log_emit"]), pd.DataFrame(moves, columns=["traj_id", "seq", "a", "b", "log_p"]))
+    for traj, (path, broken) in want.items():
+        own = got[got.traj_id == traj].sort_values("seq")
+        if broken is None:
+            assert own.state.tolist() == path and own.reason.isna().all()
+        else:
+            assert own.seq.tolist() == [3 * broken] and own.reason.notna().all()
+    assert {b is None for _, b in want.values()} == {True, False}
+
+
+def test_lights_and_training_rows_are_served_as_trained(spark, sf_dir):
+    """What a worker computes for a place and time, chance of green and all 21 inputs, is what the training rows hold."""
+    from tracewright.plans import learning
+
+    segs = roadnet.segments(view(spark, sf_dir, "points"))
+    rds = roadnet.roads(view(spark, sf_dir, "edges"), segs)
+    net = routing.network(rds)
+    ok, series = learning.light_series(spark, sf_dir)
+    changes, priors = lights.phase_changes(series), lights.prior(ok)
+    light = lights.LightTable.collected(series, changes, priors)
+    smp = features.samples(features.pairs(view(spark, sf_dir, "trips"))).cache()
+    green = {(r.traj_id, r.seq, r.kind): r.green for r in features.green_of(smp, series, changes, priors).collect()}
+    rows = smp.toPandas()
+    ours = light.green(rows.road_id, rows.to_road, rows.t, rows.to_node)
+    assert [green[k] for k in zip(rows.traj_id, rows.seq, rows.kind, strict=True)] == pytest.approx(ours.tolist())
+    assert len(set(np.round(ours, 6))) > 2
+    vec = features.road_vectors(rds, learning.given_embedding(spark, sf_dir), features.road_frequency(view(spark, sf_dir, "placed")), roadnet.next_degree(view(spark, sf_dir, "edges")))
+    at = net.number(rows.road_id.to_numpy())
+    served = features.assembled(features.vector_array(vec, net.ids), at, rows.to_node.to_numpy(), ours, rows.t.to_numpy(), rows.journey.to_numpy())
+    trained = learning.training_rows(spark, sf_dir, learning.given_embedding(spark, sf_dir)).toPandas()
+    held = {(r.traj_id, r.seq, r.kind): [getattr(r, n) for n in features.NAMES] for r in trained.itertuples(index=False)}
+    inside = [i for i, k in enumerate(zip(rows.traj_id, rows.seq, rows.kind, strict=True)) if k in held]
+    assert inside
+    for i in inside:
+        assert served[i].tolist() == pytest.approx(held[rows.traj_id[i], rows.seq[i], rows.kind[i]])
 
 
 def test_decoding_by_all_sequences():
@@ -102,6 +247,7 @@ def test_common_subsequence():
         a, b = ([rng.randint(1, 4) for _ in range(rng.randint(0, 6))] for _ in range(2))
         subs = lambda s: {c for n in range(len(s) + 1) for c in itertools.combinations(s, n)}
         weight, own = rating.lcs_of(a, b, float)
+        assert weight == rating.lcs_weight(np.array(a), np.array(b), np.array(a, float))
         assert weight == max(sum(c) for c in subs(a) & subs(b)) == sum(own)
 
 
@@ -198,8 +344,8 @@ def test_training_learns(spark, tmp_path):
     rows = spark.createDataFrame([([float(v) for v in a], float(2 * a[0] - a[1])) for a in x], "x array<double>, y double").repartition(3)
     model, history = speed_model.train(rows, rows, rounds=1, epochs=12, layers=(16,), size_of_batch=50)
     assert min(history) < 0.5 * history[0] or min(history) < 0.5
-    speed_model.save(model, str(tmp_path / "m.npz"))
-    assert np.allclose(speed_model.load(str(tmp_path / "m.npz")).predict(x), model.predict(x))
+    speed_model.save(spark, model, str(tmp_path / "model"))
+    assert np.allclose(speed_model.load(spark, str(tmp_path / "model")).predict(x), model.predict(x))
     assert speed_model.infer(rows, model).agg(F.min("predicted")).first()[0] >= 0.01
 
 

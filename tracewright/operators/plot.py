@@ -40,3 +40,11 @@ def road_features(points: DataFrame, roads: DataFrame | None = None) -> DataFram
     line = F.array_sort(F.collect_list(F.struct("pos", F.format_string("[%.6f,%.6f]", "lon", "lat").alias("p"))))
     shape = rows.groupBy("road_id").agg(F.array_join(F.transform(line, lambda x: x["p"]), ",").alias("c"))
     return shape.select(F.format_string('{"type":"Feature","geometry":{"type":"LineString","coordinates":[%s]},"properties":{"road":%d}}', "c", "road_id").alias("value"))
+
+
+def trace_lines(points: DataFrame, visits: DataFrame) -> DataFrame:
+    """A line of GeoJSON for each road of each trace: ``visits`` has traj_id, road_id; a road that a trace visits again is drawn once."""
+    line = F.array_sort(F.collect_list(F.struct("pos", F.format_string("[%.6f,%.6f]", "lon", "lat").alias("p"))))
+    shape = points.groupBy("road_id").agg(F.array_join(F.transform(line, lambda x: x["p"]), ",").alias("c"))
+    drawn = visits.select("traj_id", "road_id").distinct().join(shape, "road_id")
+    return drawn.select(F.format_string('{"type":"Feature","geometry":{"type":"LineString","coordinates":[%s]},"properties":{"trace":%d,"road":%d}}', "c", "traj_id", "road_id").alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +45,26 @@ def without_repeats(sequence: Column) -> Column:
     return F.filter(sequence, lambda x, i: (i == 0) | (x != F.get(sequence, i - 1)))
 
 
-def weighted_lcs(a: Column, b: Column, weight) -> Column:
-    """Largest total weight of a common subsequence of two arrays; ``weight`` maps an element to its weight.
+def lcs_weight(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
+    """Largest total weight of a common subsequence of two arrays, ``weights`` being those of a's elements.
 
-    Folds of arrays on the JVM, a row of the table at a time.
+    A row of the table at a time: an element of weight w that matches adds it to the cell before, and a row never falls, so its running
+    maximum is the row.
     """
-    n = F.size(b)
-    zeros = F.array_repeat(F.lit(0.0), n + 1)
+    row = np.zeros(len(b) + 1)
+    for x, w in zip(a, weights, strict=True):
+        row[1:] = np.maximum.accumulate(np.where(b == x, row[:-1] + w, row[1:]))
+    return float(row[-1])
+
 
-    def row(above: Column, x: Column) -> Column:
-        def cell(sofar: Column, j: Column) -> Column:
-            both = F.get(above, j - 1) + weight(x)
-            return F.concat(sofar, F.array(F.when(F.get(b, j - 1) == x, both).otherwise(F.greatest(F.get(above, j), F.get(sofar, j - 1)))))
+def weighted_lcs(a: Column, b: Column, weight) -> Column:
+    """``lcs_weight`` of two array columns, in Arrow batches; ``weight`` maps an element to its weight, as a column."""
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0.0)), cell)
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([lcs_weight(x, y, w) if x is not None and y is not None else None for x, y, w in zip(a, b, weights, strict=True)], dtype=float)
 
-    table = F.aggregate(a, zeros, row)
-    return F.when((n == 0) | (F.size(a) == 0), 0.0).otherwise(F.element_at(table, -1))
+    return run(a, b, F.transform(a, weight))
 
 
 def lcs_of(a: list[int], b: list[int], weight) -> tuple[float, list[int]]:
@@ -89,6 +94,14 @@ def sequence_scores(seqs: DataFrame, weight) -> DataFrame:
     return rows.select("traj_id", "shared", "recall", "precision", f1.alias("f1"))
 
 
+def odd_ones(errors: DataFrame, network: DataFrame, scores: DataFrame) -> DataFrame:
+    """What should be looked at, one row: points further than ``FAR_M`` off, points that can't be reached, traces of zero recall or precision."""
+    nil = lambda c: F.coalesce(F.sum((F.col(c) == 0).cast("long")), F.lit(0)).alias(f"zero_{c}")
+    far = errors.agg(F.coalesce(F.sum("n_far"), F.lit(0)).alias("far_points"))
+    skipped = network.agg(F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped_points"))
+    return far.join(skipped).join(scores.agg(nil("recall"), nil("precision")))
+
+
 def report(errors: DataFrame, network: DataFrame, scores: DataFrame) -> DataFrame:
     """One row: the means over traces of all eight measures."""
     each = errors.join(network, "traj_id", "left").join(scores, "traj_id", "left")

@@ -5,7 +5,7 @@ A format whose lines have an order over the whole table is written by range-part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import TRIP_COLUMNS
@@ -31,11 +31,22 @@ def write_trips(trips: DataFrame, path: str) -> None:
     named.repartitionByRange("traj_id").sortWithinPartitions("traj_id", "seq").select(*TRIP_COLUMNS).write.option("header", True).csv(path)
 
 
-def write_statistics(stats: DataFrame, path: str) -> None:
-    """``N Secs:`` and a line of values with one decimal for each interval (at most 24)."""
+VALUES_A_LINE = 100_000
+
+
+def write_statistics(stats: DataFrame, path: str, a_line: int = VALUES_A_LINE) -> None:
+    """``N Secs:`` and its values with one decimal for each interval, in the order of intervals and values.
+
+    Values are dealt in ranges, so no interval is gathered; those of one range make lines of up to ``a_line`` values.
+    """
+    ranged = stats.select("interval_s", "value").repartitionByRange("interval_s", "value").withColumn("_part", F.spark_partition_id())
+    number = F.row_number().over(Window.partitionBy("interval_s", "_part").orderBy("value")) - 1
+    chunks = ranged.withColumn("_chunk", F.floor(number / a_line))
     line = F.array_join(F.transform(F.sort_array(F.collect_list("value")), lambda v: F.format_string("%.1f", v)), " ")
-    rows = stats.groupBy("interval_s").agg(line.alias("v")).orderBy("interval_s")
-    rows.select(F.format_string("%d Secs:\n%s", "interval_s", "v").alias("value")).write.text(path)
+    body = chunks.groupBy("interval_s", "_part", "_chunk").agg(line.alias("value"))
+    heads = stats.select("interval_s").distinct().select("interval_s", F.lit(-1).alias("_part"), F.lit(-1).cast("long").alias("_chunk"), F.format_string("%d Secs:", "interval_s").alias("value"))
+    every = body.unionByName(heads)
+    every.repartitionByRange("interval_s", "_part", "_chunk").sortWithinPartitions("interval_s", "_part", "_chunk").select("value").write.text(path)
 
 
 def write_params(speeds: DataFrame, sigma: DataFrame, path: str) -> None:

@@ -153,6 +153,12 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_plot_traces(spark: SparkSession, path: str, most_lines: int = 2_000_000) -> DataFrame:
-    """Traces for plotting: of the first lines of a file, up to the end of the last trace begun in them; failed traces are left out."""
+    """Traces for plotting: of the first ``most_lines`` lines of a file, up to the end of the last trace begun in them; failed traces are left out.
+
+    Lines are counted by parts of the file and the counts before them, so the file is neither sorted nor gathered.
+    """
+    raw = lines(spark, path).select("line_no", tokens().alias("t")).withColumn("_ts", F.expr("try_cast(get(t, 0) AS BIGINT)"))
+    placed = running(running(raw, F.coalesce(F.col("_ts") < 1, F.lit(False)), "traj_id", before=True), F.lit(True), "n")
+    last = placed.where(F.col("n") <= most_lines).agg(F.max("traj_id").alias("last")).first()["last"]
     own, _ = read_traces(spark, path)
-    return own.where(F.col("traj_id") <= own.orderBy("traj_id", "seq").limit(most_lines).agg(F.max("traj_id")).first()[0]) if own.limit(1).count() else own
+    return own.where(F.col("traj_id") <= F.lit(-1 if last is None else last))
