@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import learning, network
+from . import files, learning, network
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**network.QUERIES, **learning.QUERIES}
+    return {**network.QUERIES, **learning.QUERIES, **files.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**network.ORACLES, **learning.ORACLES}
+    return {**network.ORACLES, **learning.ORACLES, **files.ORACLES}

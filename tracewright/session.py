@@ -22,10 +22,19 @@ def get_spark(app: str = "tracewright", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one uses its warehouse, a cluster may not."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return base.rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder that the session shares (``spark.checkpoint.dir``, else the warehouse) and reads it from there."""
+    """Writes ``df`` to the shared folder and reads it from there."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
