@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_apart
+from .common import given_apart, private
 
 BUCKETS = 1024
 MAX_LABELLED = 20_000
@@ -181,9 +181,9 @@ ADDED = ["host", "path", "rule", "verdict", "score"]
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model=None) -> DataFrame:
     """Adds host, path, rule, verdict and score (the model's probability that the page is unwanted)."""
     weights, bias = model or default_model()
-    address = F.col(f"{url}_given" if url in ADDED else url)
-    out = given_apart(pages, ADDED).withColumn("host", host_of(address))
-    out = out.withColumn("path", path_of(address))
+    own = private(pages.columns, "_url")
+    out = given_apart(pages.withColumn(own, F.col(url).cast("string")), ADDED)
+    out = out.withColumn("host", host_of(F.col(own))).withColumn("path", path_of(F.col(own))).drop(own)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     odds = logit(F.col("host"), F.col("path"), weights, bias)
     by_model = F.when(odds > 0, "block").otherwise("allow")
