@@ -301,6 +301,19 @@ def test_fit_finds_a_known_mixture():
     assert loss < 0.05
 
 
+def test_fit_is_no_worse_than_a_grid_of_all_five():
+    rng = np.random.default_rng(3)
+    for p in ((0.1, 4.0, 0.5, 5.0, 15.0), (0.3, 2.0, 0.3, 8.0, 20.0), (0.05, 6.0, 0.6, 3.0, 9.0)):
+        share = distributions.curve(np.array([p]), 50)[0] * rng.uniform(0.9, 1.1, 50)
+        share /= share.sum()
+        start = np.array(p) * rng.uniform(0.7, 1.3, 5)
+        steps = start / distributions.WIDTH
+        grid = np.array([start + steps * np.array(o) for o in itertools.product((-4, -2, 0, 2, 4), repeat=5)])
+        grid = grid[(grid > 1e-10).all(1) & (grid[:, 0] < 1) & (grid[:, 0] + grid[:, 2] < 1)]
+        least = np.abs(distributions.curve(grid, 50) - share).sum(1).min()
+        assert distributions.fit_one(share, start)[1] <= least + 1e-9
+
+
 def test_survival_starts_at_one_and_falls(spark):
     par = spark.createDataFrame([(30, 0.1, 4.0, 0.5, 5.0, 15.0)], "interval_s int, val0 double, sig1 double, s1 double, sig2 double, mu2 double")
     p = [r.p for r in distributions.survival(par).orderBy("bin").collect()]

@@ -184,9 +184,9 @@ hist AS (SELECT interval_s, bin, (least(upto, accept) - least(upto - n, accept))
 lim AS (SELECT interval_s, min(bin) + 1 AS up_lim FROM cn WHERE upto >= accept GROUP BY interval_s)"""
 
 
-def stats(spark, d):
+def stats(spark, d, negative=False):
     line = read(spark, d, "lineitem").select((F.lit(30) + 15 * (F.col("l_linenumber") % 5)).cast("int").alias("interval_s"), (F.col("l_quantity") * (F.lit(0.2) + F.col("l_discount") * 10) - 2).alias("value"))
-    values = distributions.accepted_values(line)
+    values = distributions.accepted_values(line, negative)
     return values, distributions.binned(values)
 
 
@@ -195,6 +195,14 @@ def agg10_histogram(spark, d):
     return distributions.histogram(stats(spark, d)[1]).select(F.col("interval_s").cast("long"), "bin", F.round("share", 8).alias("share"))
 
 
+_negative = _stats.replace(f"({_VALUE}) / 2 AS x", f"-({_VALUE}) / 2 AS x").replace("WHERE x >= 0)", "WHERE x > 0)")
+
+
+@query(_negative + " SELECT CAST(interval_s AS BIGINT) AS interval_s, bin, round(share, 8) AS share FROM hist")
+def fl19_negative_histogram(spark, d):
+    return distributions.histogram(stats(spark, d, negative=True)[1]).select(F.col("interval_s").cast("long"), "bin", F.round("share", 8).alias("share"))
+
+
 @query(_stats + """, rk AS (SELECT *, row_number() OVER (PARTITION BY interval_s ORDER BY x) - 1 AS i FROM va), ac AS (SELECT DISTINCT interval_s, accept, begins FROM cn)
 SELECT CAST(r.interval_s AS BIGINT) AS interval_s, round(max(CASE WHEN i = begins + floor((accept - begins) * (0.6827E0 * 0.5E0)) THEN x END), 6) AS sig, round(max(CASE WHEN i = begins + floor((accept - begins) * ((0.9973E0 + 1) / 2)) THEN x END), 6) AS sig3,
   round(max(CASE WHEN i = begins + floor((accept - begins) * 0.75E0) THEN x END), 6) AS third FROM rk r JOIN ac a ON r.interval_s = a.interval_s GROUP BY r.interval_s""")
