@@ -76,12 +76,13 @@ def with_rows(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into small ones, so that what a worker derives from one stays small."""
+    """Cuts Arrow batches into small ones, so that what a worker derives from one stays small; a worker that is done gives unused memory back."""
     for batch in batches:
         width = max(1, batch.nbytes // max(1, batch.num_rows))
         step = max(1, min(rows, chars // width))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[str]:
