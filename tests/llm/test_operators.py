@@ -111,11 +111,12 @@ def test_records(spark, odd, none, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (own.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     m = manifest.where("n_records > 0").first()
-    fs, _ = token_records.file_system(m.path)
-    index = np.frombuffer(open(m.path + ".idx", "rb").read(), "<u8").reshape(-1, 2)
-    whole = open(m.path, "rb").read()
+    assert m.path.startswith("file:")
+    fs, place = token_records.file_system(m.path)
+    index = np.frombuffer(open(place + ".idx", "rb").read(), "<u8").reshape(-1, 2)
+    whole = open(place, "rb").read()
     for at, n in index[::-1].tolist():
-        doc_id, ids = token_records.read_one(fs, m.path, at, n)
+        doc_id, ids = token_records.read_one(fs, place, at, n)
         assert ids[-1] == 1
         broken = bytearray(whole[at : at + n])
         broken[-6] ^= 1

@@ -43,6 +43,13 @@ def materialise(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return made
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its store, as Spark would read it: one without a scheme lies in the default store, which needn't be a local disk."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``materialise`` wrote, once nothing reads it any more."""
     sc = df.sparkSession.sparkContext

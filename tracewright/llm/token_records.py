@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, slices, texts
+from .common import materialise, qualified, scratch, slices, texts
 from .tokenization import tokenizer
 
 MASK_ADDED = 0xA282EAD8
 FRAME, HEAD = "<QI", "<Bq"
 HEAD_BYTES = struct.calcsize(HEAD)
-FILE_BYTES = 128 << 20
+FILE_BYTES, BLOCK_BYTES = 128 << 20, 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -62,7 +62,7 @@ def unframed(data: bytes) -> bytes:
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store that holds a path: a local one, or what its scheme says."""
+    """The store that a path's scheme names; a path without one (of a test) is local."""
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
@@ -75,6 +75,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
 
     One range exchange by doc_id (ties by text); each task sorts its range, which spills if need be, and writes as it encodes.
     """
+    folder = qualified(docs.sparkSession, folder).rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
@@ -85,7 +86,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
             out.close()
             with fs.open_output_stream(path + ".idx") as index:
                 index.write(np.array(rows, "<u8")[:, :2].tobytes())
-            return pa.RecordBatch.from_pylist([{"task": task, "number": number, "path": path, "n_records": len(rows), "n_bytes": place, "n_tokens": sum(r[2] for r in rows)}], schema=manifest)
+            return pa.RecordBatch.from_pylist([{"task": task, "number": number, "path": f"{folder}/{path.rsplit('/', 1)[-1]}", "n_records": len(rows), "n_bytes": place, "n_tokens": sum(r[2] for r in rows)}], schema=manifest)
 
         manifest = pa.schema([("task", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
         end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
@@ -112,7 +113,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
 
 
 def read_one(fs: pafs.FileSystem, path: str, at: int, length: int) -> tuple[int | None, np.ndarray]:
-    """Reads the record that the index places at ``at``: doc_id and its ids."""
+    """Reads the record that the index of a file (a place in a store, as ``file_system`` gives them) has at ``at``: doc_id and its ids."""
     with fs.open_input_file(path) as f:
         body = unframed(f.read_at(length, at))
     flags, doc_id = struct.unpack_from(HEAD, body)
@@ -131,12 +132,14 @@ def read_records(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, _ = file_system(path)
+                fs, path = file_system(path)
                 with fs.open_input_stream(path + ".idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
                 with fs.open_input_file(path) as f:
-                    for at in range(0, len(index), 512):
-                        part, out = index[at : at + 512], []
+                    at = 0
+                    while at < len(index):  # a block of records at a time, or one that is larger
+                        end = max(at + 1, min(at + 512, int(np.searchsorted(index[:, 0], index[at, 0] + BLOCK_BYTES))))
+                        part, out, at = index[at:end], [], end
                         block = f.read_at(int(part[-1].sum() - part[0, 0]), int(part[0, 0]))
                         for offset, length in (part - [part[0, 0], 0]).tolist():
                             body = unframed(block[offset : offset + length])
