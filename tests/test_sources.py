@@ -113,3 +113,19 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     found = spark.table("speeds").collect()
     assert len(found) == 1 and found[0].speed == pytest.approx(11.119, abs=0.01)
+
+
+def parts(tmp_path, name, *bodies):
+    """A folder of parts, each larger than those before: Spark reads the largest first."""
+    (tmp_path / name).mkdir()
+    for i, b in enumerate(bodies):
+        (tmp_path / name / f"part-{i + 9}.txt").write_text(b + "\n" * 40 * i)
+    return str(tmp_path / name)
+
+
+def test_traces_of_several_parts(spark, tmp_path):
+    """A failed trace, one that goes on in the next part, and numbers of traces over all parts."""
+    p = parts(tmp_path, "x", "100 41.1 -8.7 3\n-1\nFailed\n", "-2\n200 41.0 -8.0 5\n", "215 41.2 -8.1 6\n-3\n300 41.3 -8.3 7\n-4\n")
+    own, failed = text.read_traces(spark, p)
+    assert sorted((r.traj_id, r.seq, r.ts, r.road_id) for r in own.collect()) == [(0, 0, 100, 3), (2, 0, 200, 5), (2, 1, 215, 6), (3, 0, 300, 7)]
+    assert [(r.traj_id, r.reason) for r in failed.collect()] == [(1, "failed")]

@@ -1,11 +1,14 @@
 """Readers of the text formats: maps, traces, statistics, parameters, vectors, tables of numbers.
 
 Lines are numbered by their place, so rows that belong together (a trace and its end, a header and its values) are found by
-windows over parts of a file and the counts of the parts before; no reader gathers a file in one task.
+windows over parts of a file and the counts of the parts before; no reader gathers a file in one task. The files of a folder
+follow each other by name, numbers in it by value.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,17 @@ VECTOR = 16
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (rising, not dense) and value, of lines that aren't blank."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """line_no (rising, not dense: file, begin of its part, place in the task) and value, of lines that aren't blank.
+
+    Spark deals files to tasks by size, so places in tasks alone would not follow the order of the files.
+    """
+    read = spark.read.text(path)
+    files = sorted(read.inputFiles(), key=lambda f: [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", f))])
+    ranks = spark.createDataFrame(list(enumerate(files)), "_file int, _path string")
+    placed = read.select("value", F.input_file_name().alias("_path"), F.input_file_block_start().alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    rank = F.coalesce("_file", F.raise_error(F.lit("a file that was not there before")).cast("int")).alias("file")
+    place = F.struct(rank, F.col("_start").alias("start"), F.col("_line").alias("line"))
+    return placed.join(F.broadcast(ranks), "_path", "left").select("value", place.alias("line_no")).where(F.trim("value") != "")
 
 
 def tokens(value: str | Column = "value") -> Column:
@@ -25,7 +37,7 @@ def tokens(value: str | Column = "value") -> Column:
 
 def running(rows: DataFrame, flag: Column, name: str, before: bool = False) -> DataFrame:
     """Adds the number of flagged rows up to each line (or before it), in line order, by parts of the file."""
-    part = F.shiftright("line_no", 33)
+    part = F.struct("line_no.file", "line_no.start")
     frame = Window.partitionBy("_part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     rows = rows.withColumn("_part", part).withColumn("_f", flag.cast("long"))
     counts = rows.groupBy("_part").agg(F.sum("_f").alias("_n"))
@@ -82,7 +94,7 @@ TRIP_COLUMNS = ["trajID", "originID", "transitionID", "timestamp", "toNode", "el
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
     """Preprocessed rows as trips; a row with a negative field is dropped, elapsed loses its fraction for lights only (see there)."""
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).select("line_no", F.split("value", ",").alias("t"))
+    rows = lines(spark, path).select("line_no", F.split("value", ",").alias("t"))
     n = [F.expr(f"try_cast(trim(get(t, {i})) AS DOUBLE)") for i in range(6)]
     named = rows.select("line_no", *[c.alias(x) for c, x in zip(n, TRIP_COLUMNS, strict=True)])
     kept = named.where(" AND ".join(f"{x} >= 0" for x in TRIP_COLUMNS))
