@@ -136,3 +136,8 @@ def test_labelled_traces_of_several_parts(spark, tmp_path):
     own, failed = text.read_traces(spark, p, interval=15, labelled=True)
     assert sorted((r.traj_id, r.seq, r.ts, r.road_id) for r in own.collect()) == [(0, 0, 100, 3), (0, 1, 115, 4), (0, 2, 130, 5), (1, 0, 200, 6), (1, 1, 215, 7)]
     assert [r.traj_id for r in failed.collect()] == [2]
+
+
+def test_plot_traces_of_several_parts(spark, tmp_path):
+    p = parts(tmp_path, "x", "100 41.1 -8.7 3\n115 41.2 -8.8 4\n-1\n", "200 41.0 -8.0 6\n", "215 41.2 -8.1 7\n-2\n300 41.0 -8.0 8\n-3\n")
+    assert sorted((r.traj_id, r.ts) for r in text.read_plot_traces(spark, p, 4).collect()) == [(0, 100), (0, 115), (1, 200), (1, 215)]
