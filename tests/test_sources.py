@@ -141,3 +141,8 @@ def test_labelled_traces_of_several_parts(spark, tmp_path):
 def test_plot_traces_of_several_parts(spark, tmp_path):
     p = parts(tmp_path, "x", "100 41.1 -8.7 3\n115 41.2 -8.8 4\n-1\n", "200 41.0 -8.0 6\n", "215 41.2 -8.1 7\n-2\n300 41.0 -8.0 8\n-3\n")
     assert sorted((r.traj_id, r.ts) for r in text.read_plot_traces(spark, p, 4).collect()) == [(0, 100), (0, 115), (1, 200), (1, 215)]
+
+
+def test_keyed_lines_of_several_parts(spark, tmp_path):
+    p = parts(tmp_path, "m", "9 a\n4 c\n", "9 b\n", "9 d\n4 e\n")
+    assert {r.id: r.rest for r in text.read_keyed(spark, p).collect()} == {9: "d", 4: "e"}
