@@ -146,3 +146,9 @@ def test_plot_traces_of_several_parts(spark, tmp_path):
 def test_keyed_lines_of_several_parts(spark, tmp_path):
     p = parts(tmp_path, "m", "9 a\n4 c\n", "9 b\n", "9 d\n4 e\n")
     assert {r.id: r.rest for r in text.read_keyed(spark, p).collect()} == {9: "d", 4: "e"}
+
+
+def test_sequences_of_several_parts(spark, tmp_path):
+    """The line of the count is the first of the first file; part-10 follows part-9."""
+    p = parts(tmp_path, "q", "3\n1 1 2\n", "3\n", "4 4\n")
+    assert sorted((r.traj_id, r.roads) for r in text.read_sequences(spark, p).collect()) == [(0, [1, 1, 2]), (1, [3]), (2, [4, 4])]
