@@ -152,3 +152,8 @@ def test_sequences_of_several_parts(spark, tmp_path):
     """The line of the count is the first of the first file; part-10 follows part-9."""
     p = parts(tmp_path, "q", "3\n1 1 2\n", "3\n", "4 4\n")
     assert sorted((r.traj_id, r.roads) for r in text.read_sequences(spark, p).collect()) == [(0, [1, 1, 2]), (1, [3]), (2, [4, 4])]
+
+
+def test_collapsed_sequences_of_several_parts(spark, tmp_path):
+    p = parts(tmp_path, "q", "3\n1 1 2\n", "3\n", "4 4\n")
+    assert sorted((r.traj_id, r.roads) for r in text.read_sequences(spark, p, collapse=True).collect()) == [(0, [1, 2]), (1, [3]), (2, [4])]
