@@ -366,3 +366,19 @@ def test_early_stop():
     assert not speed_model.stops([5, 4, 3, 2, 1, 0.9, 0.8])
     assert speed_model.stops([1, 1, 1, 2, 2, 2, 2, 2])
     assert not speed_model.stops([9, 8, 7, 6, 5, 4, 3, 2])
+
+
+def test_near_roads_enters_segments_where_positions_are(spark):
+    """A long chain of roads and positions at its begin: what is met is not dealt again by road, and equal positions count alike."""
+    step = 0.004
+    segs = spark.createDataFrame([(i, 0, 41.0 + step * i, -8.7, 41.0 + step * (i + 1), -8.7, 444.8) for i in range(400)], "road_id long, seg_id int, s_lat double, s_lon double, e_lat double, e_lon double, sum_after double")
+    points = spark.createDataFrame([(t, q, 41.0 + step * (q + 0.5), -8.7) for t in range(3) for q in range(5)], "traj_id long, seq int, lat double, lon double")
+    plan = candidates.near_roads(points, segs, 960, broadcast_rows=100)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [cx#" in line and "Inner" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
+    rings = candidates.ring_counts(points, segs, broadcast_rows=100).collect()
+    assert len({(r.traj_id, r.seq) for r in rings}) == 15
+    for r in rings:
+        far = [max(0.0, abs(i - r.seq) - 0.5) * step * candidates.METRES_A_DEGREE for i in range(400)]
+        assert r.n_roads == sum(max(1, -(-f // 60)) == r.ring for f in far if f <= 960)
+    assert sorted(map(tuple, rings)) == sorted(map(tuple, candidates.ring_counts(points, segs, broadcast_rows=0).collect()))
