@@ -382,3 +382,10 @@ def test_near_roads_enters_segments_where_positions_are(spark):
         far = [max(0.0, abs(i - r.seq) - 0.5) * step * candidates.METRES_A_DEGREE for i in range(400)]
         assert r.n_roads == sum(max(1, -(-f // 60)) == r.ring for f in far if f <= 960)
     assert sorted(map(tuple, rings)) == sorted(map(tuple, candidates.ring_counts(points, segs, broadcast_rows=0).collect()))
+
+
+def test_single_precision_steps_agree():
+    rng = np.random.default_rng(4)
+    m, x, y = speed_model.Perceptron(5, (8, 4), seed=2), rng.normal(size=(64, 5)), rng.normal(size=64)
+    (grads, loss), (small, near) = m.gradients(x, y), m.single().gradients(x.astype(np.float32), y.astype(np.float32))
+    assert near == pytest.approx(loss, rel=1e-5) and all(b.dtype == np.float32 and np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(grads, small, strict=True))
