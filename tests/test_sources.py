@@ -157,3 +157,24 @@ def test_sequences_of_several_parts(spark, tmp_path):
 def test_collapsed_sequences_of_several_parts(spark, tmp_path):
     p = parts(tmp_path, "q", "3\n1 1 2\n", "3\n", "4 4\n")
     assert sorted((r.traj_id, r.roads) for r in text.read_sequences(spark, p, collapse=True).collect()) == [(0, [1, 2]), (1, [3]), (2, [4])]
+
+
+def many_sequences(spark, tmp_path, collapse):
+    """Traces written and read back in a session that makes each range exchange anew, with bounds of its own sample."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "false")
+        ids = spark.range(0, 60000, 3).select((F.col("id") * 7 % 60013).alias("id"))
+        seqs = sinks.numbered(ids.select(F.col("id").alias("traj_id"), F.array("id", "id", F.col("id") + 1).alias("roads")))
+        sinks.write_sequences(seqs, str(tmp_path / "q"))
+        found = sorted((r.traj_id, r.roads) for r in text.read_sequences(spark, str(tmp_path / "q"), collapse=collapse).collect())
+        return found, sorted(r.id for r in ids.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_sequences_of_many_ranges(spark, tmp_path):
+    found, ids = many_sequences(spark, tmp_path, collapse=False)
+    assert found == [(n, [i, i, i + 1]) for n, i in enumerate(ids)]
