@@ -178,3 +178,8 @@ def many_sequences(spark, tmp_path, collapse):
 def test_sequences_of_many_ranges(spark, tmp_path):
     found, ids = many_sequences(spark, tmp_path, collapse=False)
     assert found == [(n, [i, i, i + 1]) for n, i in enumerate(ids)]
+
+
+def test_collapsed_sequences_of_many_ranges(spark, tmp_path):
+    found, ids = many_sequences(spark, tmp_path, collapse=True)
+    assert found == [(n, [i, i + 1]) for n, i in enumerate(ids)]
