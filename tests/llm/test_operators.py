@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -321,6 +322,20 @@ def test_isotonic():
     assert (np.diff(p) >= 0).all() and p[1] == pytest.approx(p[3])
 
 
+def test_language_model_tokens_in_arrow():
+    """Words, tail classes and counts of a slice come from Arrow and are what Python's splitting gives, also in a slice with an offset."""
+    given = [None, "", " \t", "A b\x0bÉa  b\n", "x\x1cy\x85z\xa0w é", "\x00 \U0001f600 it's 7. Z"]
+    for column in (pa.array(given), pa.array(["q", *given]).slice(1)):
+        t = language_model.tokenised(column)
+        distinct = t.distinct.to_pylist()
+        found = [(x or "").encode().lower().split() + [language_model.END] for x in given]
+        assert [distinct[i] for i in t.at] == [w for d in found for w in d]
+        assert np.diff(t.bounds).tolist() == [len(d) for d in found]
+        v = language_model.Vocabulary({b"b": 0, language_model.END: 1}, np.array([2, 6]), 8, 2, None, None, 1)
+        number = v.numbers(t.distinct)[t.at].tolist()
+        assert number == [v.known.get(w, -1 - (language_model.HEAD + int(language_model._TAIL_OF[w[-1]]))) for d in found for w in d]
+
+
 def test_language_model(spark, odd, none):
     rng = random.Random(5)
     rows = [(i, " ".join(w for _ in range(40) for w in rng.choice([("good", "morning"), ("dear", "friend"), ("cold", "rain")]))) for i in range(300)]

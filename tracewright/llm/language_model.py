@@ -20,12 +20,13 @@ is held out; repeated rows repeat; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter  # noqa: F401 - tests count with it
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,28 +46,56 @@ for _c in range(256):
     _TAIL_OF[_c] = _c - 97 if 97 <= _c <= 122 else 26 if 48 <= _c <= 57 else 27 if _c == 46 else 28 if _c == 44 else 29 if _c < 128 else 30 + _c % 6
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+@dataclass
+class Tokens:
+    """The tokens of some documents one after another, each with its end token: places in ``distinct``, and where documents begin."""
+
+    distinct: pa.Array  # binary, the end token last
+    at: np.ndarray
+    bounds: np.ndarray  # one more than there are documents
+
+
+_BYTES = pa.array([bytes([c]) for c in range(256)], pa.binary())
+
+
+def tokenised(column: pa.Array) -> Tokens:
+    """The lower-cased words of each text, and ends, found in Arrow: Python holds no string of them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    encoded = lists.flatten().dictionary_encode()
+    place, owner = encoded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy()
+    distinct = encoded.dictionary.cast(pa.binary())
+    inside = (pc.binary_length(distinct).to_numpy(zero_copy_only=False) > 0)[place]  # white space at the ends of a text leaves empty words
+    place, owner = place[inside], owner[inside]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(column)) + 1)])
+    at = np.full(bounds[-1], len(distinct), np.int64)
+    at[np.arange(len(place)) + owner] = place
+    return Tokens(pa.concat_arrays([distinct, pa.array([END], pa.binary())]), at, bounds)
 
 
 def count_tokens(training: DataFrame) -> DataFrame:
     """word (binary) and n of every token of the training texts: counted in tasks first, then summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return made
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-            seen[END] += batch.num_rows
-            if len(seen) > FLUSH:
-                yield out()
-        yield out()
+        held, rows = [], 0
+
+        def summed() -> pa.Table:
+            made = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return made.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+        for batch in slices(batches, 512):
+            t = tokenised(batch.column(0))
+            times = np.bincount(t.at, minlength=len(t.distinct))
+            used = pa.array(np.flatnonzero(times))
+            held.append(pa.table({"word": t.distinct.take(used), "n": pa.array(times).take(used)}))
+            rows += len(used)
+            if rows > 2 * FLUSH:
+                held = [summed()]
+                rows = held[0].num_rows
+                if rows > FLUSH:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if held:
+            yield from summed().to_batches()
 
     return training.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -83,22 +112,21 @@ class Vocabulary:
     class_distinct: np.ndarray
     least: int  # count of known tokens but for the end token: all others have less
     classes: np.ndarray = field(default=None)  # of known tokens
+    keys: pa.Array = field(default=None)  # known tokens in Arrow, made where they are looked up
 
     @property
     def end(self) -> int:
         return HEAD + TAIL  # the end token's own class
 
-    def numbers(self, found: list[bytes]) -> np.ndarray:
-        """A number for each word: of a known token, or -1 - class of its tail."""
-        known = self.known
-        return np.fromiter([known[w] for w in found], np.int64, len(found))
-
-
-class Numbers(dict):
-    """Tokens to numbers; a token that isn't there gives -1 - its tail class."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - (HEAD + int(_TAIL_OF[word[-1]]))
+    def numbers(self, found: pa.Array) -> np.ndarray:
+        """A number for each word: of a known token, or -1 - class of its tail (of any, if the word is empty)."""
+        if self.keys is None:
+            self.keys = pa.array(list(self.known), pa.binary())
+        number = pc.fill_null(pc.index_in(found, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        others = np.flatnonzero(number < 0)
+        last = pc.fill_null(pc.index_in(pc.binary_slice(found.take(pa.array(others)), -1), value_set=_BYTES), 0)
+        number[others] = -1 - (HEAD + _TAIL_OF[last.to_numpy(zero_copy_only=False)])
+        return number
 
 
 def summarise(counted: DataFrame) -> Vocabulary:
@@ -123,7 +151,7 @@ def summarise(counted: DataFrame) -> Vocabulary:
             break
         held += by_step[at]
     top = sorted(counted.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    known = Numbers((bytes(r["word"]), i) for i, r in enumerate(top))
+    known = {bytes(r["word"]): i for i, r in enumerate(top)}
     counts = np.array([r["n"] for r in top], np.int64)
     if END not in known:  # nothing to learn from
         known[END], counts = len(known), np.append(counts, 0)
@@ -151,12 +179,11 @@ def summarise(counted: DataFrame) -> Vocabulary:
     return Vocabulary(known, counts, total, v, tokens, distinct, least, classes)
 
 
-def class_stream(found: list[list[bytes]], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def class_stream(t: Tokens, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For documents one after another: token numbers, their classes, and the classes one and two tokens before (end before a start)."""
-    flat = [w for d in found for w in (*d, END)]
-    number = v.numbers(flat)
-    classes = np.where(number >= 0, v.classes[np.maximum(number, 0)], -1 - number)
-    classes[np.cumsum([len(d) + 1 for d in found]) - 1] = v.end
+    own = v.numbers(t.distinct)
+    number, classes = own[t.at], np.where(own >= 0, v.classes[np.maximum(own, 0)], -1 - own)[t.at]
+    classes[t.bounds[1:] - 1] = v.end
     one = np.concatenate([[v.end], classes[:-1]])
     two = np.concatenate([[v.end], one[:-1]])
     two[one == v.end] = v.end
@@ -249,7 +276,7 @@ def train(training: DataFrame, v: Vocabulary) -> Model:
             trainer = Trainer(model.load(start.value), noise, 1000 * turn + task)
             tokens = 0
             for batch in slices(batches, 512):
-                _, word, one, two = class_stream([words(x) for x in batch.column(0).to_pylist()], vocabulary)
+                _, word, one, two = class_stream(tokenised(batch.column(0)), vocabulary)
                 order = trainer.rng.permutation(len(word))
                 for part in np.array_split(order, max(1, len(word) // BATCH)):
                     trainer.step(word[part], one[part], two[part])
@@ -288,31 +315,28 @@ def score(docs: DataFrame, v: Vocabulary, counted: DataFrame, model: Model, held
         log_counts, seen = np.log10(vocabulary.counts + 0.5), (vocabulary.counts > 0).astype(np.int64)
         tailed = (np.arange(size) >= HEAD) & (np.arange(size) != vocabulary.end)
         for batch in slices(batches):
-            found = [words(x) for x in batch.column(1).to_pylist()]
-            number, word, one, two = class_stream(found, vocabulary)
-            bounds = np.cumsum([0, *(len(d) + 1 for d in found)])
+            t = tokenised(batch.column(1))
+            number, word, one, two = class_stream(t, vocabulary)
             inside = number >= 0
             own = np.where(inside, log_counts[np.maximum(number, 0)], 0.0)
             within = np.where(tailed[word], own - tail_total[word], 0.0)
             logs = m.log_probability(word, one, two, normalisers) / np.log(10) + within
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (seen[np.maximum(number, 0)] * inside, own - base_total, logs)] if len(found) else [[]] * 3
-            rows = {name: [] for name, _ in fields}
+            sums = [np.add.reduceat(x, t.bounds[:-1]) for x in (seen[np.maximum(number, 0)] * inside, own - base_total, logs)]
             rare = np.flatnonzero(~inside)
-            at = np.searchsorted(bounds, rare, "right") - 1
-            flat = Counter()
-            for i, d in zip(rare.tolist(), at.tolist(), strict=True):
-                place = i - int(bounds[d])
-                flat[d, found[d][place] if place < len(found[d]) else END] += 1
-            n, k = len(found), len(flat)
-            rows["word"] = [b"\xff" + (key + i).to_bytes(8, "big") for i in range(n)] + [w for _, w in flat]
-            rows["key"] = [key + i for i in range(n)] + [key + d for d, _ in flat]
-            rows["times"] = [0] * n + list(flat.values())
-            for name, values in (("doc_id", batch.column(0).to_pylist()), ("held_out", batch.column(2).to_pylist()), ("n_tokens", np.diff(bounds).tolist())):
-                rows[name] = values + [None] * k
-            for name, values in zip(("n_known", "base", "score"), sums, strict=True):
-                rows[name] = list(np.asarray(values).tolist()) + [None] * k
+            owner = np.searchsorted(t.bounds, rare, "right") - 1
+            pairs, times = np.unique(owner * len(t.distinct) + t.at[rare], return_counts=True)
+            n, k = batch.num_rows, len(pairs)
+            keys = key + np.arange(n)
+            marks = pa.array([b"\xff" + i.to_bytes(8, "big") for i in keys.tolist()], pa.binary())
+            columns = [
+                pa.concat_arrays([marks, t.distinct.take(pa.array(pairs % len(t.distinct)))]),
+                pa.array(np.concatenate([keys, key + pairs // len(t.distinct)])),
+                pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+            ]
+            whole = [batch.column(0), batch.column(2), pa.array(np.diff(t.bounds)), *map(pa.array, sums)]
+            columns += [pa.concat_arrays([x.cast(kind), pa.nulls(k, kind)]) for x, (_, kind) in zip(whole, fields[3:], strict=True)]
             key += n
-            yield pa.RecordBatch.from_arrays([pa.array(rows[name], kind) for name, kind in fields], names=[name for name, _ in fields])
+            yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
     schema = "word binary, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(held).alias("held_out")).mapInArrow(run, schema)
