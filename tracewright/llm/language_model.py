@@ -231,6 +231,7 @@ class Trainer:
         self.m, self.rng = model, np.random.default_rng(seed)
         self.noise, self.log_noise = noise, np.log(noise * NOISE).astype(np.float32)
         self.cumulated = np.cumsum(noise)
+        self.space = np.empty((0, NOISE), np.float32)  # kept from step to step: large arrays made anew cost more than what is done in them
         self.squares = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in ("near", "far", "target", "bias")}
 
     def add(self, name: str, at: np.ndarray, rows: np.ndarray) -> None:
@@ -247,10 +248,18 @@ class Trainer:
     def step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m, n = self.m, np.float32(1 / len(word))
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), len(self.noise) - 1)
-        h = m.near[one] + m.far[two]
-        own, other = m.target[word], m.target[drawn]
+        h = m.near.take(one, 0)
+        h += m.far.take(two, 0)
+        own, other = m.target.take(word, 0), m.target[drawn]
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, own) + m.bias[word] - self.log_noise[word]))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-(h @ other.T + m.bias[drawn] - self.log_noise[drawn])))  # P(data) of noise
+        if len(self.space) < len(word):
+            self.space = np.empty((len(word), NOISE), np.float32)
+        down = np.matmul(h, other.T, out=self.space[: len(word)])
+        down += m.bias[drawn]
+        down -= self.log_noise[drawn]
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(1, down, out=down)  # P(data) of noise
         gh = (down @ other - up[:, None] * own) * n
         at = np.concatenate([word, drawn])
         self.add("target", at, np.concatenate([-up[:, None] * h, down.T @ h]) * n)
