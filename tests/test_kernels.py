@@ -389,3 +389,45 @@ def test_single_precision_steps_agree():
     m, x, y = speed_model.Perceptron(5, (8, 4), seed=2), rng.normal(size=(64, 5)), rng.normal(size=64)
     (grads, loss), (small, near) = m.gradients(x, y), m.single().gradients(x.astype(np.float32), y.astype(np.float32))
     assert near == pytest.approx(loss, rel=1e-5) and all(b.dtype == np.float32 and np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(grads, small, strict=True))
+
+
+def test_packed_blocks_hold_every_row_once(spark):
+    """Rows of uneven parts, some without rows, come back standardised and whole, dealt evenly; a held row never trains."""
+    n = 5000
+    rows = spark.range(n).repartition(7).select(F.array(F.col("id").cast("double"), F.lit(3.0)).alias("x"), (F.col("id") % 9).cast("double").alias("y"), (F.col("id") % 5 == 0).alias("held")).where("x[0] < 4900")
+    m = speed_model.Perceptron(2, (4,))
+    m.mean, m.scale = np.array([2500.0, 3.0]), np.array([1000.0, 1.0])
+    blocks = speed_model.packed(rows, m, 3)
+    files = blocks.select(F.input_file_name().alias("f"), F.length("y").alias("n")).groupBy("f").agg(F.sum("n")).collect()
+    assert len(files) == 3
+    found = []
+    for r in blocks.collect():
+        y = np.frombuffer(r.y, np.float32)
+        x = np.frombuffer(r.x, np.float32).reshape(len(y), 2)
+        assert len(y) <= speed_model.BLOCK and (x[:, 1] == 0).all()
+        ids = np.rint(x[:, 0].astype(float) * 1000 + 2500).astype(int)
+        assert (ids % 9 == y).all() and ((ids % 5 == 0) == r.held).all()
+        found += ids.tolist()
+    assert sorted(found) == list(range(4900))
+    _, _, off = speed_model.epoch(blocks, m, 1e-3, 0)
+    held = np.arange(0, 4900, 5)
+    expected = ((m.predict(np.column_stack([held, np.full(len(held), 3)])) - held % 9) ** 2).mean()
+    assert off == pytest.approx(expected, rel=1e-4) and speed_model.validate(blocks, m) == pytest.approx(expected, rel=1e-4)
+
+
+def test_steps_in_chunks_agree_with_one():
+    rng = np.random.default_rng(6)
+    n = 2 * speed_model.CHUNK + 77
+    m, x, y = speed_model.Perceptron(4, (6, 3), seed=1), rng.normal(size=(n, 4)), rng.normal(size=n)
+    parts = [(m.gradients(x[a:b], y[a:b]), b - a) for a, b in ((0, 100), (100, 355), (355, n))]
+    for i, g in enumerate(m.gradients(x, y)[0]):
+        assert np.allclose(g, sum(p[0][i] * k for p, k in parts) / n, atol=1e-12)
+    assert m.gradients(x, y)[1] == pytest.approx(((m.predict(x) - y) ** 2).mean())
+    assert m.predict(x[:0]).shape == (0,)
+
+
+def test_early_stop_counts_finer_epochs(spark, monkeypatch):
+    """With a loss that never falls, a round has its coarse epoch and nine finer ones."""
+    monkeypatch.setattr(speed_model, "epoch", lambda blocks, model, *a: (model, 1.0, 1.0))
+    rows = spark.createDataFrame([([1.0, 2.0], 3.0)], "x array<double>, y double")
+    assert len(speed_model.train(rows, rows, rounds=2, layers=(2,))[1]) == 2 * (1 + 9)
