@@ -431,3 +431,24 @@ def test_early_stop_counts_finer_epochs(spark, monkeypatch):
     monkeypatch.setattr(speed_model, "epoch", lambda blocks, model, *a: (model, 1.0, 1.0))
     rows = spark.createDataFrame([([1.0, 2.0], 3.0)], "x array<double>, y double")
     assert len(speed_model.train(rows, rows, rounds=2, layers=(2,))[1]) == 2 * (1 + 9)
+
+
+def test_router_uses_plain_numbers(monkeypatch):
+    """A way is searched without array functions for single places, rated as ``rate`` does, and by a network that has been sent too."""
+    import pickle
+
+    net, calls, whole = grid(True), [], routing.metres
+    tables = [criterion.Survival(np.array([15, 60, 90]), [np.exp(-np.arange(n) / (40.0 + k)) for n in (50, 90, 70)]) for k in range(3)]
+    c = criterion.Solve(*tables)
+    for gap in (10, 15, 44, 60, 75.4, 400):
+        rate = c.searching(gap)
+        for detour, turn, seconds in itertools.product((-50.0, 0.0, 3.0, 900.0), (-2.0, 0.0, 1.5), (0.2, 30.0)):
+            assert rate(detour, turn, seconds) == c.rate(detour, turn, seconds, gap, True)
+    assert c.turn.of(1.0, 75) == (tables[0].tables[1][int(1 / criterion.BIN)] * 15 + tables[0].tables[2][int(1 / criterion.BIN)] * 15) / 30
+    monkeypatch.setattr(routing, "metres", lambda *a: calls.append(a) or whole(*a))
+    n = lambda road: int(net.number(np.array([road]))[0])
+    q = routing.Question(50.0, 20.0, 0.0, 0.0, tuple(net.last[n(14), :2]), tuple(net.last[n(97), 2:]), 60.0)
+    net.bends.update({(a, b): 0.0 for a in range(len(net.ids)) for b in range(len(net.ids))})
+    found = routing.best_path(net, n(14), n(97), q, c)
+    assert found is not None and len(calls) == 1
+    assert routing.best_path(pickle.loads(pickle.dumps(net)), n(14), n(97), q, c) == found
